@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, neardup, ngram, sharding
+from . import langid, neardup, ngram, sharding, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,11 +33,16 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.components(_table(spark, sf_dir, "documents"), size=2)
 
 
+def op10_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_lm_score": op4_lm_score,
     "op5_language_id": op5_language_id,
     "op8_sharding": op8_sharding,
     "op9_near_duplicates": op9_near_duplicates,
+    "op10_repeated_substrings": op10_repeated_substrings,
 }
 
 
