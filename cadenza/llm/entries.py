@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, neardup, ngram, sharding, substring
+from . import fingerprint, langid, neardup, ngram, sharding, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", out.alias("held_out"), "text"), profiles).drop("text")
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint(_table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(_table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"))
 
@@ -40,6 +44,7 @@ def op10_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_lm_score": op4_lm_score,
     "op5_language_id": op5_language_id,
+    "op6_fingerprints": op6_fingerprints,
     "op8_sharding": op8_sharding,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_repeated_substrings": op10_repeated_substrings,
