@@ -5,7 +5,13 @@ from __future__ import annotations
 import numpy as np
 
 U64 = np.uint64
-_ONES = np.array([bin(i).count("1") for i in range(256)], np.int64)
+
+
+def _gather(out: np.ndarray, word: np.ndarray, bits: np.ndarray) -> None:
+    """Sets bits in out[word]; words don't fall."""
+    if len(word):
+        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        out[word[first]] |= np.bitwise_or.reduceat(bits, first)
 
 
 class EliasFano:
@@ -40,9 +46,9 @@ class EliasFano:
             part = values & U64((1 << width) - 1)
             bit = np.arange(n, dtype=np.int64) * width
             word, shift = bit >> 6, (bit & 63).astype(U64)
-            np.bitwise_or.at(low, word, part << shift)
             over = (shift + U64(width)) > U64(64)
-            np.bitwise_or.at(low, word[over] + 1, part[over] >> (U64(64) - shift[over]))
+            _gather(low, word, part << shift)
+            _gather(low, word[over] + 1, part[over] >> (U64(64) - shift[over]))
         return width, high, low
 
     @classmethod

@@ -13,10 +13,13 @@ agree with a probability close to the Jaccard similarity.
    threshold go.
 4. What remains is verified on the full sets; verified links make components. First
    one link of each class is verified, then those that still join two components.
-5. Buckets that still hold several components get the pairs across components.
+5. Buckets that still hold several components are searched for pairs across them:
+   members outside a bucket's largest component against all members, in tiles of
+   bounded size, by longer sketches of which each register keeps its low byte. Only
+   pairs whose estimate nears the threshold leave a tile, to be verified.
 
 BANDS x ROWS miss a pair of exactly the threshold in all bands with probability
-(1 - 0.8**4)**28 < 1e-6; the estimate's margin is 5 standard deviations.
+(1 - 0.8**4)**28 < 1e-6; the estimates' margins are 5 and 4.5 standard deviations.
 
 Defined cases: null or empty text and text without words have an empty set and are
 linked with nothing; equal texts are linked; a null key is dropped from the result of
@@ -39,8 +42,8 @@ ROWS, BANDS = 4, 28
 REGISTERS = ROWS * BANDS
 #: Register base and rate of the sketch; registers fit 16 bits for sets of 1 to 10**12.
 BASE, RATE, LIMIT = 1.002, 20.0, 65534
-_SEEDS = (mix(np.arange(REGISTERS) + 77) >> U64(32)).astype(np.uint32) | np.uint32(1)
-_FLIP = (mix(np.arange(REGISTERS) + 777) >> U64(32)).astype(np.uint32)
+#: Registers of the longer sketches, and rows of a tile's side.
+LONG, TILE = 1024, 1024
 #: Rows of (key, role) that are broadcast at most; beyond, the text is joined by shuffle.
 MOST_BROADCAST = 1_000_000
 
@@ -69,12 +72,14 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.n
     return out, np.searchsorted(own, np.arange(n + 1)).astype(np.int64)
 
 
-def sketches(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Registers, documents x REGISTERS; documents must not be empty."""
+def sketches(sets: np.ndarray, at: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
+    """Registers, documents x registers; documents must not be empty."""
     x = (mix(sets) >> U64(32)).astype(np.uint32)
-    least = np.empty((REGISTERS, len(at) - 1), np.uint32)
-    for j in range(REGISTERS):
-        least[j] = np.minimum.reduceat((x ^ _FLIP[j]) * _SEEDS[j], at[:-1])
+    least = np.empty((registers, len(at) - 1), np.uint32)
+    factor = (mix(np.arange(registers) + 77) >> U64(32)).astype(np.uint32) | np.uint32(1)
+    flip = (mix(np.arange(registers) + 100_077) >> U64(32)).astype(np.uint32)
+    for j in range(registers):
+        least[j] = np.minimum.reduceat((x ^ flip[j]) * factor[j], at[:-1])
     u = (least.T.astype(np.float64) + 0.5) / 2.0**32
     return np.clip(np.floor(1 - np.log(-np.log1p(-u) / RATE) / np.log(BASE)) + 8000, 0, LIMIT).astype(np.uint16)
 
@@ -134,8 +139,8 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = np.full((n, BANDS), U64(1), U64) * np.arange(1, BANDS + 1).astype(U64)
         for k in range(ROWS):
             key = pair_hash(key, r[:, :, k])
-        repeat = np.repeat(np.arange(n), BANDS)
-        yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), batch.column("doc_id").take(pa.array(repeat)), batch.column("n").take(pa.array(repeat))], ["bucket", "doc_id", "n"])
+        band = np.tile(np.arange(BANDS, dtype=np.int32), n)
+        yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(band), batch.column("doc_id").take(pa.array(np.repeat(np.arange(n), BANDS)))], ["bucket", "band", "doc_id"])
 
 
 def _estimate(least: float):
@@ -151,6 +156,59 @@ def _estimate(least: float):
     return run
 
 
+def _long_rows(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = as_bytes(batch.column("text"))
+            for i, j in chunks(offsets):
+                sets, at = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)
+                long = sketches(sets, at, LONG)
+                low, first = (long & 255).astype(np.uint8), np.ascontiguousarray(long[:, :REGISTERS])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[i:j], pa.array([x.tobytes() for x in low], pa.binary()), pa.array([x.tobytes() for x in first], pa.binary())], ["doc_id", "low", "registers"])
+
+    return run
+
+
+def _tile(least: float):
+    def run(table: pa.Table) -> pa.Table:
+        ids, comp, asks = (table.column(c).to_numpy() for c in ("doc_id", "comp", "asks"))
+        low = as_bytes(table.column("low"))[0].reshape(-1, LONG)
+        registers = as_bytes(table.column("registers"))[0].view(np.uint16).reshape(-1, BANDS, ROWS)
+        band = table.column("band")[0].as_py()
+        q, t = np.flatnonzero(asks), np.flatnonzero(~asks)
+        found = [np.zeros((0, 2), np.int64)]
+        wide = np.ascontiguousarray(low[t])
+        for i in q.tolist():
+            same = (wide == low[i]).sum(1) / LONG
+            near = (same - 1 / 256) / (1 - 1 / 256) >= least
+            hit = t[near & (comp[t] != comp[i])]
+            # A pair leaves the first of the buckets that it shares.
+            hit = hit[(registers[hit] == registers[i]).all(2).argmax(1) == band]
+            found.append(np.stack([np.maximum(ids[hit], ids[i]), np.minimum(ids[hit], ids[i])], 1))
+        out = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"a": pa.array(out[:, 0]), "b": pa.array(out[:, 1])})
+
+    return run
+
+
+def _across(docs: DataFrame, members: DataFrame, comp: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a bucket and look similar enough."""
+    rows = members.join(comp, "doc_id").select("bucket", "band", "doc_id", "comp")
+    parts = rows.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    parts = parts.groupBy("bucket").agg(F.sum("n").alias("size"), F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("main")).where("comps > 1")
+    rows = rows.join(parts.select("bucket", "size", F.col("main.comp").alias("main"), (F.col("size") - F.col("main.n")).alias("few")), "bucket")
+    rows = materialise(rows, "open")
+    who = rows.select("doc_id").distinct()
+    texts = docs.join(F.broadcast(who) if who.count() <= MOST_BROADCAST else who, "doc_id")
+    low = texts.dropDuplicates(["doc_id"]).mapInArrow(_long_rows(size), "doc_id long, low binary, registers binary")
+    tiles = lambda n: F.ceil(F.col(n) / TILE).cast("int")
+    deal = lambda n: F.pmod(F.xxhash64("doc_id"), tiles(n)).cast("int")
+    target = rows.select("bucket", "band", "doc_id", "comp", F.lit(False).alias("asks"), deal("size").alias("t"), F.explode(F.sequence(F.lit(0), tiles("few") - 1)).alias("q"))
+    query = rows.where("comp != main").select("bucket", "band", "doc_id", "comp", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), tiles("size") - 1)).alias("t"), deal("few").alias("q"))
+    margin = 4.5 * np.sqrt(percent / 100 * (1 - percent / 100) / LONG)
+    return target.unionByName(query).join(low, "doc_id").groupBy("bucket", "t", "q").applyInArrow(_tile(percent / 100 - margin), "a long, b long").distinct()
+
+
 def _set_rows(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,11 +282,14 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     some = all_rows.where("n > 0")
     classes = materialise(some.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")), "classes")
     leads = materialise(some.join(classes.select(F.col("class_id").alias("doc_id"), "h1", "h2", "n"), ["doc_id", "h1", "h2", "n"], "left_semi").select("doc_id", "n", "registers").dropDuplicates(["doc_id"]), "leads")
-    # Every bucket with two classes or more, and the least class in it.
-    rows = leads.mapInArrow(_bands, "bucket long, doc_id long, n long")
-    heads = rows.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).where("head < last").select("bucket", "head")
-    members = materialise(rows.join(heads, "bucket"), "members")
-    pairs = members.where("doc_id > head").groupBy(F.col("doc_id").alias("a"), F.col("head").alias("b")).agg(F.count("*").alias("bands"))
+    # Every bucket with two classes or more. Its head is the class that meets the most
+    # others over all its buckets: of a text and its varied copies, mostly the text.
+    rows = leads.mapInArrow(_bands, "bucket long, band int, doc_id long")
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    members = materialise(rows.join(shared, "bucket"), "members")
+    known = members.groupBy("doc_id").agg(F.sum("size").alias("met"))
+    heads = members.join(known, "doc_id").groupBy("bucket").agg(F.max_by("doc_id", F.struct("met", -F.col("doc_id"))).alias("head"))
+    pairs = members.join(heads, "bucket").where("doc_id != head").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct()
     slim = leads.select("doc_id", "n")
     regs = leads.select("doc_id", "n", "registers")
     margin = 5 * np.sqrt(percent / 100 * (1 - percent / 100) / REGISTERS)
@@ -255,14 +316,8 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     if left.limit(1).count():
         links = links.unionAll(materialise(_verified(docs, left, size, percent), "links"))
         comp = materialise(connect(ids, links), "comp")
-    # Buckets whose members are still in several components: the pairs across components.
-    open_rows = members.join(comp, "doc_id").select("bucket", "doc_id", "n", "comp")
-    mixed = open_rows.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("bucket")
-    open_rows = materialise(open_rows.join(mixed, "bucket"), "open")
-    x, y = (open_rows.select("bucket", F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("comp").alias(f"c{k}")) for k in "ab")
-    rest = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b")
-    rest = rest.distinct().join(candidates.select("a", "b"), ["a", "b"], "left_anti")
-    rest = materialise(likely(rest).select("a", "b"), "rest")
+    # Buckets whose members are still in several components.
+    rest = materialise(_across(docs, members, comp, size, percent), "rest")
     if rest.limit(1).count():
         links = links.unionAll(materialise(_verified(docs, rest, size, percent), "links"))
         comp = materialise(connect(ids, links), "comp")

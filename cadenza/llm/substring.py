@@ -34,12 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import materialise
-from ._text import BYTE_VALUE, U64, as_bytes, chunks, prefix_hash, span_hash
+from ._text import BYTE_VALUE, U64, as_bytes, chunks, mix, prefix_hash, span_hash
 from .ngram import pack, unpack
 from .suffix import common_prefixes, suffix_array
 
 LENGTH, GRAM = 200, 64
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 6_000_000
+#: Shards for each block; a shard holds several arrays of its stretches' length.
+SHARDS_PER_BLOCK = 2
 #: Distinct stretches of an anchor that one suffix array takes; in one block, and in all.
 MOST_IN_BLOCK, MOST_STRETCHES = 64, 4096
 #: Position bits beside the gram's hash while the least is sought; pieces are shorter.
@@ -50,8 +52,8 @@ _PIECE = 1 << 22
 class Stretches:
     """Runs of windows with one anchor, for documents that lie one after another.
 
-    start, count: first window and how many; anchor: hash of the anchor's gram; content:
-    hash of all bytes of the stretch."""
+    start, count: first window and how many; anchor: hash of the anchor's gram, spread anew
+    as anchors are the least hashes; content: hash of all bytes of the stretch."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
         parts = []
@@ -97,7 +99,7 @@ class Stretches:
         close = ok.copy()
         close[:-1] &= ~ok[1:] | np.append(at[1:] != at[:-1], True)
         start, last = np.flatnonzero(begin[:-1]), np.flatnonzero(close[:-1])
-        return start + base, last - start + 1, hashes[at[start]], span_hash(prefix, start, last + length)
+        return start + base, last - start + 1, mix(hashes[at[start]]), span_hash(prefix, start, last + length)
 
 
 class Block:
@@ -291,7 +293,7 @@ def _removed(length: int, gram: int, texts: bool):
         found = np.concatenate([np.unpackbits(x[1], count=int(x[0][0])) for x in second]).astype(bool)
         often = np.concatenate([np.unpackbits(x[2], count=int(x[0][1])) for x in second]).astype(bool)
         s = b.stretches
-        change = np.zeros(len(b.data) + 1, np.int64)
+        change = np.zeros(len(b.data) + 1, np.int32)
 
         def cover(at: np.ndarray, until: np.ndarray) -> None:
             np.add.at(change, at, 1)
@@ -306,7 +308,7 @@ def _removed(length: int, gram: int, texts: bool):
             raise RuntimeError("a block changed between two readings; write the documents to a table first")
         at = b.counted_at[often[inverse]] if len(keys) else np.zeros(0, np.int64)
         cover(at, at + length)
-        gone = np.cumsum(change[:-1]) > 0
+        gone = np.cumsum(change[:-1], dtype=np.int32) > 0
         edge = np.zeros(len(gone) + 1, bool)
         edge[b.offsets] = True
         begins = gone.copy()
@@ -341,7 +343,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
     cell = "shard int, block int, cell binary"
     first = rows.groupBy("block").applyInArrow(_first_cells(blocks, length, gram), cell)
     answers = first.groupBy("shard").applyInArrow(_first_answers(most_stretches), "block int, shard int, cell binary")
-    second = materialise(rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_second_cells(blocks, length, gram), cell), "stretches")
+    second = materialise(rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_second_cells(SHARDS_PER_BLOCK * blocks, length, gram), cell), "stretches")
     found = second.where("shard >= 0").groupBy("shard").applyInArrow(_second_answers(length), "block int, shard int, cell binary")
     given = found.unionByName(second.where("shard < 0"))
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
