@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ from ._text import U64, as_bytes, chunks, group_index, mix
 WINDOW, STRIDE = 32, 16
 LEAST_TERMS, COMMON = 3, 0.02
 RANK = 192
-NEAR = 0.5
+NEAR = 0.35
 FULL, PART, ANSWER, WEIGHTED = 0.6, 0.45, 0.8, 0.4
 MOST_ITEMS = 20_000
 MOST_BROADCAST = 500_000
@@ -49,7 +50,7 @@ _PLAIN = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 
 
 def plain_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of each document without punctuation, and n + 1 offsets."""
+    """Hashes of the words of each lower-cased document without punctuation, and n + 1 offsets."""
     spaced = np.where(_PLAIN[data], np.uint8(32), data)
     h, at, _, _ = _text.words(spaced, offsets)
     return h, at
@@ -82,7 +83,7 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str]]):
         self.ids = np.array([r[0] for r in rows], np.int64)
-        data, offsets = as_bytes(pa.array([r[1] or "" for r in rows], pa.large_string()))
+        data, offsets = as_bytes(pc.utf8_lower(pa.array([r[1] or "" for r in rows], pa.large_string())))
         self.words, self.at = plain_words(data, offsets)
         self.terms = np.unique(self.words)
 
@@ -95,7 +96,7 @@ class Items:
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     for batch in batches:
-        data, offsets = as_bytes(batch.column("text"))
+        data, offsets = as_bytes(pc.utf8_lower(batch.column("text")))
         for i, j in chunks(offsets):
             yield batch.column("doc_id")[i:j], *plain_words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
@@ -245,7 +246,7 @@ def _judge(items: Items, weight: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = as_bytes(batch.column("text"))
+            data, offsets = as_bytes(pc.utf8_lower(batch.column("text")))
             out: list[tuple] = []
             for k, (doc, found) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("found").to_pylist(), strict=True)):
                 h, _ = plain_words(data[offsets[k] : offsets[k + 1]], np.array([0, offsets[k + 1] - offsets[k]]))
