@@ -96,19 +96,17 @@ class EliasFano:
         out = np.full(len(x), self.n, np.int64)
         inside = np.flatnonzero(upper <= last)
         upper, want = upper[inside], want[inside]
-        # Positions whose upper bits are smaller come before the upper-th zero.
+        # Positions whose upper bits are smaller come before the upper-th zero, those with
+        # the same upper bits up to the next one; among these the lower bits rise.
         start = np.where(upper > 0, self._select(np.maximum(upper - 1, 0), self.zeros, True) + 1 - upper, 0)
         start = np.minimum(start, self.n)
-        bit = start + upper
-        live = np.arange(len(start))
+        end = np.minimum(self._select(upper, self.zeros, True) - upper, self.n)
+        live = np.flatnonzero(start < end)
         while len(live):
-            b = bit[live]
-            ok = (start[live] < self.n) & (((self.high[np.minimum(b >> 6, len(self.high) - 1)] >> (b & 63).astype(U64)) & U64(1)) == 1)
-            live = live[ok]
-            if not len(live):
-                break
-            live = live[self.lower(start[live]) < want[live]]
-            start[live] += 1
-            bit[live] += 1
+            middle = (start[live] + end[live]) >> 1
+            less = self.lower(middle) < want[live]
+            start[live[less]] = middle[less] + 1
+            end[live[~less]] = middle[~less]
+            live = live[start[live] < end[live]]
         out[inside] = start
         return out
