@@ -71,8 +71,12 @@ def surviving_repeats(repeated: DataFrame, texts: DataFrame, by: Sequence[str] =
     """Repeats(by, phrase, count) that the rendered text(by, text) still says as often, occurrences may overlap."""
     low = tx.normalise(F.col("text"))
     rows = repeated.join(texts.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", low.alias("t")))), lambda x: x["t"]), " ").alias("_all")), list(by))
-    # A phrase is found wherever it begins, so a look-ahead counts overlapping places.
-    heard = F.regexp_count(F.col("_all"), F.concat(F.lit(r"(?=\Q"), F.col("phrase"), F.lit(r"\E)")))
+    # A phrase is found wherever it begins. Only one that begins as it ends can overlap itself; a look-ahead counts
+    # its places, a replacement those of all others.
+    p, n = F.col("phrase"), F.length("phrase")
+    bordered = F.exists(F.sequence(F.lit(1), n - 1), lambda k: F.substr(p, F.lit(1), k) == F.substr(p, n - k + 1, k))
+    apart = ((F.length("_all") - F.length(F.replace(F.col("_all"), p, F.lit("")))) / n).cast("int")
+    heard = F.when(bordered, F.regexp_count(F.col("_all"), F.concat(F.lit(r"(?=\Q"), p, F.lit(r"\E)")))).otherwise(apart)
     return rows.withColumn("heard", heard).where("heard >= count").drop("_all")
 
 
