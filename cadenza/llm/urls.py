@@ -4,8 +4,8 @@ A rule is a host and a path prefix (`org/`, `example.org/es/`); it fits the host
 subdomains where the path begins with the prefix, and the longest rule decides. Other
 URLs are judged by trees boosted on the logistic loss over lexical features: lengths,
 depth, digit ratio, entropies, parameter counts, hyphens, labels, vowels, and smoothed
-block rates of the host's suffix, of the file suffix and of the words in the host, as
-counted in the labelled URLs.
+block rates of the host's suffix, of the file suffix and of the words and runs of GRAM
+letters in the host, as counted in the labelled URLs.
 
 The trees are fitted on the driver on at most MOST_ROWS labelled URLs, a hash sample if there
 are more. `seed_urls` gives labelled URLs by rule where there are no others.
@@ -29,7 +29,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 MOST_ROWS = 50_000
 MOST_RULES = 1000
-ROUNDS, DEPTH, RATE, BINS = 60, 3, 0.2, 32
+ROUNDS, DEPTH, RATE, BINS, GRAM = 60, 3, 0.2, 32, 4
 
 # Words of hosts that block lists hold, and common words of others.
 ABUSE_WORDS = (
@@ -85,6 +85,11 @@ def _suffixes(host: str, path: str) -> tuple[str, str]:
     return "host:" + host.rsplit(".", 1)[-1], "file:" + (end.rsplit(".", 1)[-1] if "." in end else "")
 
 
+def _parts(host: str) -> list[str]:
+    words = _WORDS.findall(host)
+    return [f"word:{w}" for w in words] + [f"gram:{w[i : i + GRAM]}" for w in words for i in range(len(w) - GRAM + 1)]
+
+
 class UrlModel:
     """Boosted trees and the suffix and word statistics that feed them."""
 
@@ -95,7 +100,7 @@ class UrlModel:
         seen: dict[str, list[float]] = {}
         for url, label in rows:
             host, path, _ = split_url(url)
-            for k in {*_suffixes(host, path), *(f"word:{w}" for w in _WORDS.findall(host))}:
+            for k in {*_suffixes(host, path), *_parts(host)}:
                 x = seen.setdefault(k, [0.0, 0.0])
                 x[0] += label
                 x[1] += 1
@@ -109,13 +114,15 @@ class UrlModel:
     def features(self, url: str | None) -> list[float]:
         host, path, query = split_url(url)
         whole, letters = url or "", sum(c.isalpha() for c in host)
-        words = [self.rates.get(f"word:{w}", self.base) for w in _WORDS.findall(host)]
+        known = _parts(host)
+        words, grams = ([self.rates.get(k, self.base) for k in known if k.startswith(kind)] for kind in ("word", "gram"))
         a, b = _suffixes(host, path)
         return [
             len(whole), len(host), len(path), path.count("/"), sum(c.isdigit() for c in whole) / max(1, len(whole)), _entropy(whole), _entropy(host),
             len([x for x in query.split("&") if x]), len(query), host.count("-"), sum(c.isdigit() for c in host), host.count(".") + 1,
             max((len(x) for x in host.split(".")), default=0), sum(c in "aeiou" for c in host) / max(1, letters),
             self.rates.get(a, self.base), self.rates.get(b, self.base), max(words, default=self.base), sum(words) / max(1, len(words)),
+            max(grams, default=self.base), min(grams, default=self.base), sum(grams) / max(1, len(grams)),
         ]
 
     def _bins(self, x: np.ndarray) -> np.ndarray:
