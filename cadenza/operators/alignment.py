@@ -24,21 +24,23 @@ def _edits(a: list[str], b: list[str]) -> list[tuple[str, int, int, int, int]]:
     return SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
 
 
-def _cogrouped(source: DataFrame, reference: DataFrame, by: Sequence[str], schema: str, rows) -> DataFrame:
+def _side_by_side(source: DataFrame, reference: DataFrame, by: Sequence[str], schema: str, rows) -> DataFrame:
     columns = [*by, "pos", "token", "text", "start_ms", "end_ms"]
     types = ", ".join(f"{k} {source.schema[k].dataType.simpleString()}" for k in by)
     names = [*by, *(f.split()[0] for f in schema.split(", "))]
 
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(*key, *r) for r in rows(left.sort_values("pos"), right.sort_values("pos"))], columns=names)
+    def run(key: tuple, both: pd.DataFrame) -> pd.DataFrame:
+        both = both.sort_values("pos")
+        return pd.DataFrame([(*key, *r) for r in rows(both[both["_side"] == 0], both[both["_side"] == 1])], columns=names)
 
-    a, b = tokens(source, by).select(*columns), tokens(reference, by).select(*columns)
-    return a.groupBy(*by).cogroup(b.groupBy(*by)).applyInPandas(run, f"{types}, {schema}")
+    # One table with both sides: they may come from one DataFrame, which a cogroup can't tell apart.
+    both = tokens(source, by).select(*columns, F.lit(0).alias("_side")).unionByName(tokens(reference, by).select(*columns, F.lit(1).alias("_side")))
+    return both.groupBy(*by).applyInPandas(run, f"{types}, {schema}")
 
 
 def opcodes(source: DataFrame, reference: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """How the tokens of a source become those of its reference: tag, a_start, a_end, b_start, b_end."""
-    return _cogrouped(source, reference, by, "tag string, a_start int, a_end int, b_start int, b_end int", lambda a, b: _edits(a["token"].tolist(), b["token"].tolist()))
+    return _side_by_side(source, reference, by, "tag string, a_start int, a_end int, b_start int, b_end int", lambda a, b: _edits(a["token"].tolist(), b["token"].tolist()))
 
 
 def recover_cuts(source: DataFrame, reference: DataFrame, silences: DataFrame | None = None, by: Sequence[str] = BY, min_ms: int = 1000, gap_ms: int = 800) -> DataFrame:
@@ -53,7 +55,7 @@ def recover_cuts(source: DataFrame, reference: DataFrame, silences: DataFrame |
                 if tag in ("delete", "replace"):
                     yield int(a["start_ms"].iloc[i]), int(a["end_ms"].iloc[j - 1]), " ".join(a["text"].iloc[i:j]), j - i, tag == "delete"
 
-    spans = _cogrouped(source, reference, by, "start_ms long, end_ms long, removed_text string, word_count long, corroborated boolean", rows)
+    spans = _side_by_side(source, reference, by, "start_ms long, end_ms long, removed_text string, word_count long, corroborated boolean", rows)
     if silences is not None:
         both = tokens(source, by).select(*by).distinct().join(tokens(reference, by).select(*by).distinct(), list(by))
         quiet = silences.where("end_ms > start_ms").join(both, list(by), "left_semi")
@@ -82,10 +84,11 @@ def diff_cuts(before: DataFrame, after: DataFrame, by: Sequence[str] = BY) -> Da
     columns = [*by, "pos", "start_ms", "end_ms", "reason"]
     types = ", ".join(f"{k} {before.schema[k].dataType.simpleString()}" for k in by)
 
-    def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        later = b.sort_values("pos").to_dict("records")
+    def run(key: tuple, both: pd.DataFrame) -> pd.DataFrame:
+        both = both.sort_values("pos")
+        a, later = both[both["_side"] == 0], both[both["_side"] == 1].to_dict("records")
         free, out = [True] * len(later), []
-        for x in a.sort_values("pos").to_dict("records"):
+        for x in a.to_dict("records"):
             k = next((k for k, y in enumerate(later) if free[k] and y["end_ms"] > x["start_ms"] and y["start_ms"] < x["end_ms"]), None)
             if k is None:
                 out.append((*key, "removed", x["start_ms"], x["end_ms"]))
@@ -96,4 +99,5 @@ def diff_cuts(before: DataFrame, after: DataFrame, by: Sequence[str] = BY) -> Da
         out += [(*key, "added", y["start_ms"], y["end_ms"]) for k, y in enumerate(later) if free[k]]
         return pd.DataFrame(out, columns=[*by, "status", "start_ms", "end_ms"])
 
-    return before.select(*columns).groupBy(*by).cogroup(after.select(*columns).groupBy(*by)).applyInPandas(run, f"{types}, status string, start_ms long, end_ms long")
+    both = before.select(*columns, F.lit(0).alias("_side")).unionByName(after.select(*columns, F.lit(1).alias("_side")))
+    return both.groupBy(*by).applyInPandas(run, f"{types}, status string, start_ms long, end_ms long")
