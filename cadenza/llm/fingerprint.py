@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import shuffle_width
+from ._store import bound_batches, shuffle_width
 from ._text import U64, as_bytes, chunks, mix, powers
 
 BINS = 128
@@ -183,5 +183,6 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
 def fingerprint(docs: DataFrame) -> DataFrame:
     """Fingerprints of docs(doc_id, text), of each text with its last half replaced by the
     next document's beginning, and how near they are."""
+    bound_batches(docs.sparkSession)
     out = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return with_next(docs).select("part", "guest", "doc_id", "text").mapInArrow(_walk, out)

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import materialise
+from ._store import bound_batches, materialise
 
 LEAST_PAGES, GAMMA, THRESHOLD = 8, 0.2, 0.3
 #: Rows of (host, nodes cut) that are broadcast at most; beyond, pages are joined by shuffle.
@@ -232,6 +232,7 @@ def host_of(url: Column) -> Column:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of pages(page_id, url, html)."""
+    bound_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumn("host", host_of(F.col("url")))
     low = materialise(low_nodes(style_tree(rows)), "nodes")
     low = F.broadcast(low) if low.select(F.coalesce(F.sum(F.size("nodes")), F.lit(0)).alias("n")).first()["n"] <= MOST_BROADCAST else low

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from ._store import bound_batches
 from ._text import mix
 
 BITS = 20
@@ -88,7 +89,7 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return (mix(np.concatenate(bins)) >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate(docs)
 
 
-def _batches(column: pa.Array, most: int = 300_000) -> Iterator[tuple[int, list[str | None]]]:
+def _batches(column: pa.Array, most: int = 150_000) -> Iterator[tuple[int, list[str | None]]]:
     texts, start, size = [], 0, 0
     for i, t in enumerate(column.to_pylist()):
         texts.append(t)
@@ -131,6 +132,7 @@ def learn(docs: DataFrame, depth: int = DEPTH) -> dict[str, list[int]]:
     """The profiles of the languages in docs(text, lang): bins by falling count.
 
     Counts cover all rows. What comes to the driver is `depth` integers a language."""
+    bound_batches(docs.sparkSession)
     counts = docs.select("text", "lang").where("lang IS NOT NULL").mapInArrow(_count, "lang string, gram int, n long")
     rank = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
     top = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= depth)
@@ -198,6 +200,7 @@ class Profiles:
 
 def identify(docs: DataFrame, profiles: dict[str, list[int]], depth: int = DEPTH) -> DataFrame:
     """docs with lang_pred and score. Only the text is looked at."""
+    bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(json.dumps(profiles))
     columns = [c for c in docs.columns if c not in ("lang_pred", "score")]

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import materialise
+from ._store import bound_batches, materialise
 from ._text import U64, as_bytes, chunks, group_index, mix, pair_hash, words
 
 ROWS, BANDS = 4, 28
@@ -275,6 +275,7 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
     Documents are linked where 100 * intersection >= percent * union; component_id is the
     least doc_id reachable. One row per input row with a key."""
+    bound_batches(docs.sparkSession)
     if not 60 <= percent <= 100:
         raise ValueError("bands are laid out for similarities of 0.6 or more")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
