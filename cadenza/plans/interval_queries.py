@@ -81,7 +81,7 @@ def snap_to_words(s: SparkSession, d: str) -> DataFrame:
     return iv.snap_to_words(spans(s, d, "cuts"), spans(s, d, "words").select("source_id", "start_ms", "end_ms"), spans(s, d, "silences"), bucket_ms=BUCKET_MS)
 
 
-@_add("kept_segments", f"""SELECT source_id, 'segment-' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS id, n AS pos, in_ms, out_ms FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY in_ms) AS n FROM (
+@_add("kept_segments", f"""SELECT source_id, 'segment-' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS id, CAST(n AS INTEGER) AS pos, in_ms, out_ms FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY in_ms) AS n FROM (
 SELECT source_id, CAST(greatest(0, CASE WHEN cursor = 0 THEN 0 ELSE cursor - 60000 END) AS BIGINT) AS in_ms, CAST(least({MONTH_MS}, CASE WHEN tail THEN {MONTH_MS} ELSE start_ms + 60000 END) AS BIGINT) AS out_ms FROM (
 SELECT *, coalesce(max(end_ms) OVER (PARTITION BY source_id ORDER BY tail, start_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cursor FROM (SELECT source_id, start_ms, end_ms, false AS tail FROM absorbed UNION ALL SELECT source_id, duration_ms, duration_ms, true FROM lengths)) WHERE start_ms > cursor) WHERE out_ms > in_ms)""", MERGED, ABSORBED)
 def kept_segments(s: SparkSession, d: str) -> DataFrame:

@@ -179,7 +179,7 @@ def truncated_edges(s: SparkSession, d: str) -> DataFrame:
     return phrases.truncated_edges(lines(s, d)).select("source_id", "idx")
 
 
-@_add("anomalies", f"""SELECT source_id, pos, wanted, round(hits / wanted, 6) AS share FROM (SELECT w.source_id, w.pos, len(w.want) AS wanted, len(list_filter(w.want, lambda x: list_contains(coalesce(h.heard, []), x))) AS hits FROM (SELECT *, list_filter({words_of(n2('text'))}, lambda x: length(x) >= 4) AS want FROM turns WHERE role = 'assistant') w
+@_add("anomalies", f"""SELECT source_id, pos, CAST(wanted AS INTEGER) AS wanted, round(hits / wanted, 6) AS share FROM (SELECT w.source_id, w.pos, len(w.want) AS wanted, len(list_filter(w.want, lambda x: list_contains(coalesce(h.heard, []), x))) AS hits FROM (SELECT *, list_filter({words_of(n2('text'))}, lambda x: length(x) >= 4) AS want FROM turns WHERE role = 'assistant') w
 LEFT JOIN (SELECT a.source_id, a.pos, list(u.w) AS heard FROM turns a JOIN (SELECT source_id, start_ms - 10000 AS s, end_ms AS e, unnest({words_of(n2('text'))}) AS w FROM turns WHERE role = 'user') u ON u.source_id = a.source_id AND u.e > a.start_ms AND u.s < a.end_ms WHERE a.role = 'assistant' GROUP BY a.source_id, a.pos) h ON h.source_id = w.source_id AND h.pos = w.pos) WHERE wanted > 0 AND hits / wanted < 0.6""", TURNS)
 def anomalies(s: SparkSession, d: str) -> DataFrame:
     rows = turns(s, d)
@@ -310,7 +310,7 @@ def clipping_log(s: SparkSession, d: str) -> DataFrame:
     return logs.clipping(rows, lengths(s, d))
 
 
-@_add("level_log", "SELECT source_id, line_no, start_ms / 1000.0 AS t_s, CASE WHEN pos % 50 = 0 THEN '-Infinity' ELSE CAST(-(pos % 60) AS VARCHAR) END AS rms_db FROM (SELECT source_id, pos, start_ms, 2 * row_number() OVER (PARTITION BY source_id ORDER BY start_ms, pos) AS line_no FROM ev)", EVENTS_SQL)
+@_add("level_log", "SELECT source_id, CAST(line_no AS INTEGER) AS line_no, start_ms / 1000.0 AS t_s, CASE WHEN pos % 50 = 0 THEN '-Infinity' ELSE CAST(-(pos % 60) AS VARCHAR) END AS rms_db FROM (SELECT source_id, pos, start_ms, 2 * row_number() OVER (PARTITION BY source_id ORDER BY start_ms, pos) AS line_no FROM ev)", EVENTS_SQL)
 def level_log(s: SparkSession, d: str) -> DataFrame:
     n = 2 * F.row_number().over(Window.partitionBy("source_id").orderBy("start_ms", "pos"))
     rows = spans(s, d).withColumn("n", n)
@@ -335,7 +335,7 @@ def nonspeech_scores(s: SparkSession, d: str) -> DataFrame:
     return logs.nonspeech_spans(spans(s, d).select("source_id", (F.col("pos") % 1000 * 0.32).alias("t_s"), (F.col("value") / 200).alias("score")))
 
 
-@_add("srt_cues", "SELECT conv_id AS source_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS pos, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text, turn % 2 = 0 AS starts_word, turn * 10000 AS start_ms, turn * 10000 + 9500 AS end_ms FROM conversations WHERE trim(text) <> ''")
+@_add("srt_cues", "SELECT conv_id AS source_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS INTEGER) AS pos, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text, turn % 2 = 0 AS starts_word, turn * 10000 AS start_ms, turn * 10000 + 9500 AS end_ms FROM conversations WHERE trim(text) <> ''")
 def srt_cues(s: SparkSession, d: str) -> DataFrame:
     rows = table(s, d, "conversations").where("trim(text) != ''")
     stamp = lambda sec, ms: F.concat(F.lit("0:"), F.floor(sec / 60).cast("string"), F.lit(":"), (sec % 60).cast("string"), F.lit(f",{ms}"))
@@ -363,7 +363,7 @@ def content_key(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select("doc_id", scalar.content_key(F.col("text").cast("binary")).alias("content_key"))
 
 
-@_add("scalar_parsers", "SELECT pos, round(CASE pos % 3 WHEN 0 THEN 30000 / 1001.0 WHEN 1 THEN 25 ELSE 0 END, 6) AS rate, CASE WHEN start_ms >= 59500 THEN CAST(floor(floor(start_ms / 1000.0 + 0.5) / 60) AS BIGINT) || 'm ' || CAST(floor(start_ms / 1000.0 + 0.5) AS BIGINT) % 60 || 's' ELSE CAST(floor(start_ms / 1000.0 + 0.5) AS BIGINT) || 's' END AS length, CASE WHEN pos % 2 = 0 THEN 0.25 ELSE 0 END AS crop_x, pos + 1 AS last_position, repeat('#', CAST(floor(pos % 100 / 100.0 * 20 + 0.5) AS INTEGER)) || repeat('.', 20 - CAST(floor(pos % 100 / 100.0 * 20 + 0.5) AS INTEGER)) AS bar FROM ev", EVENTS_SQL)
+@_add("scalar_parsers", "SELECT pos, round(CASE pos % 3 WHEN 0 THEN 30000 / 1001.0 WHEN 1 THEN 25 ELSE 0 END, 6) AS rate, CASE WHEN start_ms >= 59500 THEN CAST(floor(floor(start_ms / 1000.0 + 0.5) / 60) AS BIGINT) || 'm ' || CAST(floor(start_ms / 1000.0 + 0.5) AS BIGINT) % 60 || 's' ELSE CAST(floor(start_ms / 1000.0 + 0.5) AS BIGINT) || 's' END AS length, CAST(CASE WHEN pos % 2 = 0 THEN 0.25 ELSE 0 END AS DOUBLE) AS crop_x, pos + 1 AS last_position, repeat('#', CAST(floor(pos % 100 / 100.0 * 20 + 0.5) AS INTEGER)) || repeat('.', 20 - CAST(floor(pos % 100 / 100.0 * 20 + 0.5) AS INTEGER)) AS bar FROM ev", EVENTS_SQL)
 def scalar_parsers(s: SparkSession, d: str) -> DataFrame:
     p = F.col("pos")
     rate = F.when(p % 3 == 0, "30000/1001").when(p % 3 == 1, "25").otherwise("1/0")
