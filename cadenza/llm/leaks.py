@@ -1,9 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Items and documents are cut into passages of WINDOW words, each beginning STRIDE after the
-last. A passage is a TF-IDF vector over the words of the benchmark; words on more than
-COMMON of all passages have no weight. Passages with fewer than LEAST_TERMS weighted
-words can't come near an item and stay out.
+last. A passage is a TF-IDF vector over the benchmark's telling words: the RAREST words of
+each item among those that occur, by their document frequency in the corpus. A leak shares telling words with its
+item (see 4), so passages without LEAST_TERMS of any one item's stay out.
 
 1. Document frequencies are counted over all passages of all documents.
 2. The right singular space of the passage matrix A is found by a distributed randomised
@@ -13,7 +13,7 @@ words can't come near an item and stay out.
 3. Every passage is projected and compared to all passages of all items; those of a cosine
    of NEAR or more are candidates.
 4. A candidate's stretch of text is held against the whole item: the longest common
-   subsequence of words, of weighted words, and of the item's last third (its answer).
+   subsequence of words, of telling words, and of the item's last third (its answer).
    A leak has LCS of the item's words at FULL or more, or at PART with the answer at ANSWER.
 
 The benchmark is the query set and is held in memory in slices of MOST_ITEMS items; terms and
@@ -35,15 +35,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._store import materialise
+from ._store import bound_batches, materialise
 from ._text import U64, as_bytes, chunks, group_index, mix
 
 WINDOW, STRIDE = 32, 16
-LEAST_TERMS, COMMON = 3, 0.02
-RANK = 192
-NEAR = 0.35
-FULL, PART, ANSWER, WEIGHTED = 0.6, 0.45, 0.8, 0.4
-MOST_ITEMS = 20_000
+LEAST_TERMS, RAREST = 3, 10
+RANK = 384
+NEAR = 0.3
+FULL, PART, ANSWER = 0.6, 0.45, 0.8
+#: Shares of an item's telling words that must be found in order too, with FULL and with PART.
+WEIGHTED, WEIGHTED_PART = 0.4, 0.6
+MOST_ITEMS = 2_000
 MOST_BROADCAST = 500_000
 #: ASCII apart from letters and digits separates words here, so that punctuation doesn't matter.
 _PLAIN = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
@@ -87,6 +89,29 @@ class Items:
         self.words, self.at = plain_words(data, offsets)
         self.terms = np.unique(self.words)
 
+    def telling(self, frequency: np.ndarray) -> np.ndarray:
+        """Which terms are among the RAREST of an item. Keeps the items of each term in `owners`."""
+        number = self.number(self.words)
+        pairs = []
+        for i, (s, e) in enumerate(zip(self.at[:-1], self.at[1:], strict=True)):
+            own = np.unique(number[s:e])
+            own = own[frequency[own] > 0]  # a word that no document has finds none
+            own = own[np.lexsort((own, frequency[own]))[:RAREST]]
+            pairs.append(np.stack([own, np.full(len(own), i)], 1))
+        term, item = np.concatenate(pairs).T
+        order = np.argsort(term, kind="stable")
+        self.owners, self.owned = item[order], np.searchsorted(term[order], np.arange(len(self.terms) + 1))
+        return np.diff(self.owned) > 0
+
+    def near_one(self, passage: np.ndarray, term: np.ndarray, least: int) -> np.ndarray:
+        """Passages with at least `least` telling words of one item (or all that it has)."""
+        count = np.diff(self.owned)[term]
+        at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.owned[term], count)
+        key = np.sort((np.repeat(passage, count) << 32) | self.owners[at])
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        enough = np.diff(np.append(first, len(key))) >= np.minimum(least, np.bincount(self.owners, minlength=len(self.ids)))[key[first] & 0xFFFFFFFF]
+        return np.unique(key[first[enough]] >> 32)
+
     def number(self, h: np.ndarray) -> np.ndarray:
         if not len(self.terms):
             return np.full(len(h), -1)
@@ -123,7 +148,7 @@ def _passages(items: Items, weight: np.ndarray):
             number[(number >= 0) & (weight[number] == 0)] = -1
             passage, term, times = cells(number, start, end)
             kinds = np.bincount(passage, minlength=len(start))
-            picked = np.flatnonzero(kinds >= LEAST_TERMS)
+            picked = items.near_one(passage, term, LEAST_TERMS)
             if not len(picked):
                 continue
             first = np.searchsorted(passage, picked)
@@ -264,7 +289,7 @@ def _judge(items: Items, weight: np.ndarray):
                     share = common_subsequence(heavy_words, stretch[weight[stretch] > 0].tolist()) / max(1, len(heavy_words))
                     tail = a[-max(1, len(a) // 3) :]
                     answer = common_subsequence(tail, stretch.tolist()) / len(tail)
-                    if share >= WEIGHTED and (lcs >= FULL or answer >= ANSWER):
+                    if (lcs >= FULL and share >= WEIGHTED) or (answer >= ANSWER and share >= WEIGHTED_PART):
                         best[i] = max(best.get(i, (0.0, 0.0, 0.0, 0)), (lcs, answer, hit["cosine"], -hit["place"]))
                 out += [(doc, int(items.ids[i]), c, x, y, -p) for i, (x, y, c, p) in best.items()]
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
@@ -279,6 +304,7 @@ RESULT = "doc_id long, item_id long, cosine double, lcs double, answer double, p
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, near: float = NEAR) -> DataFrame:
     """(doc_id, item_id, cosine, lcs, answer, place) for each item that a document leaks; place
     counts words from the document's start to the passage."""
+    bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     slices = max(1, -(-benchmark.count() // MOST_ITEMS))
@@ -295,9 +321,7 @@ def _leaks(docs: DataFrame, items: Items, rank: int, near: float) -> DataFrame:
     seen = {r["term"]: r["n"] for r in docs.mapInArrow(_frequencies(items), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator()}
     total = max(1, seen.get(-1, 0))
     frequency = np.array([seen.get(t, 0) for t in range(len(items.terms))], np.float64)
-    weight = np.log((1 + total) / (1 + frequency)) * (frequency <= COMMON * total)
-    if not weight.any():
-        weight = np.log(1 + (1 + total) / (1 + frequency))
+    weight = np.log(1 + (1 + total) / (1 + frequency)) * items.telling(frequency)
     passages = materialise(docs.mapInArrow(_passages(items, weight), "doc_id long, place long, terms binary"), "passages")
     vectors, _ = singular_space(passages, weight, rank)
     hits = passages.mapInArrow(_search(items, weight, vectors, near), "doc_id long, item int, place long, cosine double")
