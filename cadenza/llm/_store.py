@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -33,6 +34,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes that a block sends to a shard on average, at least.
+CELL_BYTES = 1024
+
+
+def block_count(size: int, block_bytes: int) -> int:
+    """How many blocks `size` bytes are dealt into: blocks of block_bytes, and beyond what that
+    gives cells of CELL_BYTES for (about 30 GB at 6 MB), of the root of size * CELL_BYTES, so
+    that the number of (block, shard) cells stays in proportion to the input."""
+    return max(1, -(-size // max(block_bytes, math.isqrt(size * CELL_BYTES))))
+
+
 def bound_batches(spark: SparkSession, size: str = "4m") -> None:
     """Arrow batches of bounded bytes for the session, so that long texts don't pile up in a batch of many rows."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -20,11 +20,12 @@ first; a document that stands alone is its own next document; other columns are
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._store import bound_batches, shuffle_width
@@ -159,6 +160,17 @@ def _pairs(pairs: list[tuple]) -> pa.RecordBatch:
     )
 
 
+def _part(key: Column, cuts: list[int]) -> Column:
+    """How many of the ascending cuts are at most the key: first among every n-th, then among n."""
+    if not cuts:
+        return F.lit(0)
+    n = math.isqrt(len(cuts)) + 1
+    groups = [cuts[i : i + n] for i in range(0, len(cuts), n)]
+    group = F.size(F.filter(F.lit([g[0] for g in groups]), lambda x: x <= key))
+    inner = F.element_at(F.array(*(F.lit(g) for g in groups)), F.greatest(F.lit(1), group))
+    return F.when(group == 0, 0).otherwise((group - 1) * n + F.size(F.filter(inner, lambda x: x <= key)))
+
+
 def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """Rows (doc_id, text, part, guest) in parts of consecutive keys, sorted within partitions.
 
@@ -169,8 +181,7 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     parts = parts or 4 * width
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
     cuts = sorted(set(rows.select("key").agg(F.percentile_approx("key", [i / parts for i in range(1, parts)], 100 * parts).alias("x")).first()["x"] or []))
-    part = F.size(F.filter(F.lit(cuts), lambda x: x <= F.col("key"))) if cuts else F.lit(0)
-    rows = rows.withColumn("part", part)
+    rows = rows.withColumn("part", _part(F.col("key"), cuts))
     firsts = sorted((r["part"], r["key"]) for r in rows.groupBy("part").agg(F.min("key").alias("key")).collect())
     hosts = [(key, firsts[i - 1][0]) for i, (_, key) in enumerate(firsts)]
     goes = docs.sparkSession.createDataFrame(hosts or [(0, 0)], "key long, host int")

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._eliasfano import EliasFano
+from ._store import block_count
 from ._text import U64, as_bytes, chunks, mix, words
 
 #: Bytes of text in a block, and of distinct n-grams that a shard is meant for.
@@ -247,7 +248,7 @@ def score(docs: DataFrame, held_out, discount: float = DISCOUNT, block_bytes: in
     held_out: a boolean Column. Returns doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score (add-one unigrams) and score (log10 probability by the trie)."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
+    blocks = block_count(size, block_bytes)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
     rows = rows.withColumn("train", ~F.col("held_out")).withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int"))
     cells = rows.groupBy("block").applyInArrow(_requests(blocks), "shard int, block int, cell binary")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import materialise
+from ._store import block_count, materialise
 from ._text import BYTE_VALUE, U64, as_bytes, chunks, mix, prefix_hash, span_hash
 from .ngram import pack, unpack
 from .suffix import common_prefixes, suffix_array
@@ -337,7 +337,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
     if not 8 <= gram <= length:
         raise ValueError("anchors need 8 bytes or more and fit the length")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
+    blocks = block_count(size, block_bytes)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int"))
     cell = "shard int, block int, cell binary"

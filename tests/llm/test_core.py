@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 
 from cadenza.llm import _text
 from cadenza.llm._eliasfano import EliasFano
+from cadenza.llm._store import block_count
 from cadenza.llm.fingerprint import _of, likeness
 from cadenza.llm.leaks import common_subsequence
 from cadenza.llm.mixing import rake, rate_for
@@ -125,6 +126,13 @@ def test_raking_meets_marginals_and_budget():
     assert (tokens * np.minimum(1, r * ratio)).sum() == pytest.approx(0.5 * tokens.sum())
 
 
+def test_cells_stay_in_proportion():
+    assert block_count(0, 6_000_000) == 1 and block_count(800_000_000, 6_000_000) == 134
+    for size in (10**9, 10**12, 10**14):
+        n = block_count(size, 6_000_000)
+        assert n * n <= size / 1000
+
+
 def test_lookup_table_is_even_and_stable():
     names = [f"s{i}" for i in range(13)]
     table = fill(names, 4099)

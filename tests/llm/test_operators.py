@@ -9,7 +9,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.llm import fingerprint, html, langid, leaks, mixing, neardup, ngram, sharding, substring, urls
+from cadenza.llm import _store, fingerprint, html, langid, leaks, mixing, neardup, ngram, sharding, substring, urls
 from tests.conftest import DATA, rows
 
 DOC = "doc_id long, text string, lang string, source string"
@@ -95,7 +95,8 @@ def test_links_are_followed(spark):
     assert all(got[i] == 1 for i in range(1, 41)) and got[100] == 90 and got[7000] == 7000
 
 
-def test_scores_by_hand(spark):
+def test_scores_by_hand(spark, monkeypatch):
+    monkeypatch.setattr(_store, "CELL_BYTES", 0)
     texts = ["a b a b", "a b c", "b a", None, "q a", "A B\tC", ""]
     held = F.col("doc_id") >= 4
     got = {r["doc_id"]: r for r in ngram.score(docs(spark, texts), held, block_bytes=8).collect()}
@@ -135,7 +136,8 @@ def brute_removed(texts, length):
 
 
 @pytest.mark.parametrize("crowd", [4096, 1])
-def test_repeats_against_all_windows(spark, crowd):
+def test_repeats_against_all_windows(spark, crowd, monkeypatch):
+    monkeypatch.setattr(_store, "CELL_BYTES", 0)
     pick = random.Random(6)
     passage = ["".join(pick.choice("abcde ") for _ in range(60)) for _ in range(4)]
     texts = ["".join(pick.choice(["".join(pick.choice("xyzäö") for _ in range(pick.randint(5, 80))), pick.choice(passage)[pick.randint(0, 20) :]]) for _ in range(pick.randint(0, 8))) for _ in range(60)]
@@ -160,6 +162,12 @@ def test_fingerprints_and_edits(spark):
     assert rows(fingerprint.fingerprint(docs(spark, ["solo"])), "near_next") == [(1.0,)]
 
 
+def test_parts_of_keys(spark):
+    cuts = [-5, 0, 3, 10, 11, 12, 40]
+    got = spark.range(-10, 50).select("id", fingerprint._part(F.col("id"), cuts).alias("p"), fingerprint._part(F.col("id"), []).alias("z")).collect()
+    assert all(r["p"] == sum(c <= r["id"] for c in cuts) and r["z"] == 0 for r in got)
+
+
 PAGE = "<html><head><title>t</title></head><body><div class='{c}'>{menu}</div><div id='x'><p>{text}</p></div><div class='{c}2'>Same on all</div></body></html>"
 
 
