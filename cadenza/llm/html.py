@@ -15,7 +15,8 @@ as all its blocks do. Roles state
 what entropy can't see, content that is new on each page but never the article: elements
 and class, id or role words for navigation, headers, footers, sidebars, notices, adverts,
 forms and comments are of importance 0, and where a page has an article or main element
-so is what stands outside. Inside an article only roles cut. Nodes seen on fewer than
+so is what stands outside. Inside an article entropy cuts only elements with a class or id of
+their own, so that pages in many copies keep their paragraphs. Nodes seen on fewer than
 LEAST_PAGES pages are judged by role alone; a page that would lose all text to entropy
 keeps it.
 
@@ -61,7 +62,7 @@ _CUT_WORDS = frozenset(
     "comment comments reply replies disqus share sharing social related recommended breadcrumb breadcrumbs pagination pager widget toolbar skip copyright legal "
     "disclaimer hidden tags byline".split()
 )
-_CUT_PARTS = re.compile("sidebar|advert|cookie|comment|newsletter|breadcrumb|navbar|footer|sponsor|disqus|pagination")
+_CUT_PARTS = re.compile("sidebar|advert|adsby|adsense|cookie|comment|newsletter|breadcrumb|navbar|footer|sponsor|disqus|pagination")
 _MAIN = frozenset(["article", "main"])
 
 _TOKEN = re.compile(
@@ -76,10 +77,10 @@ _WORD = re.compile("[a-z]+")
 class Node:
     """An element while it is open; key: hash of the path of (tag, class, id) to it."""
 
-    __slots__ = ("children", "cut", "inside", "key", "tag")
+    __slots__ = ("children", "cut", "inside", "key", "named", "tag")
 
-    def __init__(self, tag: str, key: int, cut: bool, inside: bool):
-        self.tag, self.key, self.cut, self.inside, self.children = tag, key, cut, inside, []
+    def __init__(self, tag: str, key: int, cut: bool, inside: bool, named: bool = False):
+        self.tag, self.key, self.cut, self.inside, self.named, self.children = tag, key, cut, inside, named, []
 
 
 def _cut_by_role(tag: str, attrs: dict[str, str], inside: bool) -> bool:
@@ -93,10 +94,11 @@ def _cut_by_role(tag: str, attrs: dict[str, str], inside: bool) -> bool:
     return bool(_CUT_PARTS.search(named)) or not _CUT_WORDS.isdisjoint(_WORD.findall(named))
 
 
-def blocks(page: str | None) -> tuple[list[tuple[str, tuple[int, ...], bool, bool]], list[tuple[int, int]]]:
-    """The page's blocks of text in order, each with the keys of the nodes above it, whether a
-    role cuts it and whether an article holds it; and (node, presentation) of all elements."""
-    out: list[tuple[str, tuple[int, ...], bool, bool]] = []
+def blocks(page: str | None) -> tuple[list[tuple[str, int, bool, bool]], list[tuple[int, int]]]:
+    """The page's blocks of text that no role cuts, in order, each with the key of the block element
+    that holds it, whether an article holds it and whether entropy may cut it; and (node,
+    presentation) of all elements."""
+    out: list[tuple[str, int, bool, bool]] = []
     shapes: list[tuple[int, int]] = []
     stack = [Node("", 0, False, False)]
     text: list[str] = []
@@ -108,8 +110,7 @@ def blocks(page: str | None) -> tuple[list[tuple[str, tuple[int, ...], bool, boo
             text.clear()
             if joined:
                 top = next(n for n in reversed(stack) if n.tag in _BLOCK or not n.tag)
-                path = stack[1 : stack.index(top) + 1]
-                out.append((joined, tuple(n.key for n in path), any(n.cut for n in stack), top.inside))
+                out.append((joined, top.key, top.inside, top.named or not top.inside))
 
     def close(n: int) -> None:
         for node in stack[n:]:
@@ -118,7 +119,7 @@ def blocks(page: str | None) -> tuple[list[tuple[str, tuple[int, ...], bool, boo
 
     source = page or ""
     for m in _TOKEN.finditer(source):
-        if m.start() > at:
+        if m.start() > at and not stack[-1].cut:
             text.append(source[at : m.start()])
         at = m.end()
         tag = (m["tag"] or "").lower()
@@ -156,8 +157,8 @@ def blocks(page: str | None) -> tuple[list[tuple[str, tuple[int, ...], bool, boo
         if not above.children or above.children[-1] != name:
             above.children.append(name)
         inside = above.inside or tag in _MAIN
-        stack.append(Node(tag, key, above.cut or _cut_by_role(tag, attrs, above.inside), inside))
-    if at < len(source):
+        stack.append(Node(tag, key, above.cut or _cut_by_role(tag, attrs, above.inside), inside, bool(attrs.get("class") or attrs.get("id"))))
+    if at < len(source) and not stack[-1].cut:
         text.append(source[at:])
     flush()
     close(1)
@@ -171,9 +172,9 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
             found, shapes = blocks(page)
             own = {(host, node, 0, shape) for node, shape in {k: v for k, v in shapes}.items()}
-            for words, path, cut, inside in found:
-                if path and not cut and not inside:
-                    own.add((host, path[-1], 1, xxhash.xxh64_intdigest(words) >> 1))
+            for words, node, _, judged in found:
+                if judged:
+                    own.add((host, node, 1, xxhash.xxh64_intdigest(words) >> 1))
             seen.update(own)
         if len(seen) > 200_000:
             yield _rows(seen)
@@ -212,11 +213,10 @@ def low_nodes(tree: DataFrame) -> DataFrame:
 
 
 def main_text(page: str | None, low: frozenset[int] = frozenset()) -> str:
-    found, _ = blocks(page)
-    kept = [x for x in found if not x[2]]
-    if any(x[3] for x in kept):
-        kept = [x for x in kept if x[3]]
-    strict = [x for x in kept if x[3] or low.isdisjoint(x[1][-1:])]
+    kept, _ = blocks(page)
+    if any(x[2] for x in kept):
+        kept = [x for x in kept if x[2]]
+    strict = [x for x in kept if not x[3] or x[1] not in low]
     return "\n\n".join(x[0] for x in strict or kept)
 
 

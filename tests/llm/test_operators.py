@@ -173,7 +173,7 @@ PAGE = "<html><head><title>t</title></head><body><div class='{c}'>{menu}</div><d
 
 def test_pages(spark):
     pages = [(i, "http://h.org/%d" % i, PAGE.format(c="q", menu="Fixed words", text=f"story number {i} &amp; more")) for i in range(12)]
-    pages += [(90, None, None), (91, "x", ""), (92, "http://one.org", "<article><h1>A&lt;</h1><nav>n</nav><p>b <i>c</i>\n d<script>s</script><p>e<div class='comments'>no</div></article><footer>f</footer>")]
+    pages += [(90, None, None), (91, "x", ""), (92, "http://one.org", "<article><h1>A&lt;</h1><nav>n</nav><p>b <i>c</i>\n <span class='ad'>buy</span>d<script>s</script><p>e<div class='comments'>no</div></article><footer>f</footer>")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("host", F.lit("clash")).withColumn("text", F.lit("clash"))
     got = {r["page_id"]: r for r in html.extract(df).collect()}
     assert got[3]["text"] == "story number 3 & more" and got[3]["n_chars"] == 21
@@ -181,6 +181,12 @@ def test_pages(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_repeats_inside_articles(spark):
+    page = "<article><h1>Same</h1><p>Same paragraph</p><div class='zz'>Ask your editor</div><div class='yy'>own {i}</div></article>"
+    df = spark.createDataFrame([(i, "http://h.org/", page.format(i=i)) for i in range(10)], "page_id long, url string, html string")
+    assert {r["text"] for r in html.extract(df).collect()} == {f"Same\n\nSame paragraph\n\nown {i}" for i in range(10)}
+
+
 def test_urls(spark):
     rules = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
     given = ["http://WWW.Example.ORG/es/1?q", "https://a.example.org/en/19", "http://notexample.org/es/", "http://x.com/fr", "http://x.com/fr/", "nothing", None, "http://x.org", "http://casino-win.example.net/en/1", "https://blog.ththat.example.net/en/77"]
