@@ -1,8 +1,8 @@
 """Interval algebra: islands, complements, tilings and joins over spans of time.
 
 Spans are half-open, [start_ms, end_ms), of a source. All operators take the columns that
-tell sources apart as `by`; work is dealt out by them. Spans of one source that must be seen in
-order are ordered in one window of one task.
+tell sources apart as `by`; work is dealt out by them, and by stretches of time where
+chunk_ms or bucket_ms says so.
 """
 
 from __future__ import annotations
@@ -25,30 +25,49 @@ def _before(by: Sequence[str], *order: str | Column):
     return _window(by, *order).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def islands(df: DataFrame, by: Sequence[str] = BY, gap: int = 0, strict: bool = False, order: Sequence[str] = ("start_ms", "end_ms")) -> DataFrame:
+def islands(df: DataFrame, by: Sequence[str] = BY, gap: int = 0, strict: bool = False, order: Sequence[str] = ("start_ms", "end_ms"), chunk_ms: int | None = None) -> DataFrame:
     """df with `island`: spans join the one before if they begin at most (strict: less than) `gap` after
-    the furthest end so far."""
-    reach = F.max("end_ms").over(_before(by, *order))
+    the furthest end so far.
+
+    Without chunk_ms a source is one window. With it, sources are dealt out by stretches of time too: the furthest
+    end and the number of islands of all earlier stretches are carried into each, so that a source of any size is
+    spread over many tasks; only one row a stretch is ordered in one place."""
+    keys = [*by, "_chunk"] if chunk_ms else list(by)
+    rows = df.withColumn("_chunk", F.floor(F.col(order[0]) / chunk_ms)) if chunk_ms else df
+    reach = F.max("end_ms").over(_before(keys, *order))
+    if chunk_ms:
+        rows = rows.join(_carried(rows, by, F.max("end_ms"), F.max), keys)
+        reach = F.greatest("_carry", reach)
     apart = F.col("start_ms") - reach
     new = reach.isNull() | (apart >= gap if strict else apart > gap)
-    flagged = df.withColumn("_new", new.cast("int"))
-    return flagged.withColumn("island", F.sum("_new").over(_window(by, *order).rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    rows = rows.withColumn("_new", new.cast("int")).drop("_carry")
+    number = F.sum("_new").over(_window(keys, *order).rowsBetween(Window.unboundedPreceding, 0))
+    if chunk_ms:
+        rows = rows.join(_carried(rows, by, F.sum("_new"), F.sum), keys)
+        number = number + F.coalesce("_carry", F.lit(0))
+    return rows.withColumn("island", number).drop("_new", "_chunk", "_carry")
 
 
-def merge(df: DataFrame, by: Sequence[str] = BY, gap: int = 0, strict: bool = False) -> DataFrame:
+def _carried(rows: DataFrame, by: Sequence[str], value: Column, fold) -> DataFrame:
+    """For each stretch what all stretches before it come to."""
+    parts = rows.groupBy(*by, "_chunk").agg(value.alias("_part"))
+    return parts.withColumn("_carry", fold("_part").over(_before(by, "_chunk"))).drop("_part")
+
+
+def merge(df: DataFrame, by: Sequence[str] = BY, gap: int = 0, strict: bool = False, chunk_ms: int | None = None) -> DataFrame:
     """Unions of spans that touch."""
-    return islands(df, by, gap, strict).groupBy(*by, "island").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).drop("island")
+    return islands(df, by, gap, strict, chunk_ms=chunk_ms).groupBy(*by, "island").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).drop("island")
 
 
-def merge_cuts(cuts: DataFrame, by: Sequence[str] = BY, gap: int = 0, strict: bool = False) -> DataFrame:
+def merge_cuts(cuts: DataFrame, by: Sequence[str] = BY, gap: int = 0, strict: bool = False, chunk_ms: int | None = None) -> DataFrame:
     """Unions of cuts; mixed reasons become `silence`."""
     reason = F.when(F.min("reason") == F.max("reason"), F.min("reason")).otherwise("silence")
-    return islands(cuts, by, gap, strict).groupBy(*by, "island").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), reason.alias("reason")).drop("island")
+    return islands(cuts, by, gap, strict, chunk_ms=chunk_ms).groupBy(*by, "island").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), reason.alias("reason")).drop("island")
 
 
-def absorb_slivers(cuts: DataFrame, by: Sequence[str] = BY, min_keep: int = 300) -> DataFrame:
+def absorb_slivers(cuts: DataFrame, by: Sequence[str] = BY, min_keep: int = 300, chunk_ms: int | None = None) -> DataFrame:
     """Cuts joined over what is kept between them if that is shorter than min_keep."""
-    return merge_cuts(cuts, by, min_keep, strict=True)
+    return merge_cuts(cuts, by, min_keep, strict=True, chunk_ms=chunk_ms)
 
 
 def merge_recovered(spans: DataFrame, by: Sequence[str] = BY, gap: int = 800) -> DataFrame:

@@ -52,10 +52,10 @@ def repeated_phrases(lines: DataFrame, by: Sequence[str] = BY, lang: str = "lang
 def stacked_openers(windows: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """Neighbouring sentences of windows(by, pos, text) that open with the same two words."""
     sentences = F.filter(F.transform(F.split("text", "[.!?]+"), lambda s: F.trim(s)), lambda s: s != "")
-    opener = F.transform(sentences, lambda s: F.slice(tx.words_folded(s), 1, 2))
-    rows = windows.select(*by, "pos", F.posexplode(opener).alias("n", "opener"))
-    before = F.lag("opener").over(Window.partitionBy(*by, "pos").orderBy("n"))
-    rows = rows.withColumn("_before", before).where((F.size("opener") == 2) & (F.col("opener") == F.col("_before")))
+    rows = windows.select(*by, "pos", F.transform(sentences, lambda s: F.slice(tx.words_folded(s), 1, 2)).alias("_o"))
+    # Neighbours are compared within the row, so nothing is shuffled.
+    pairs = F.transform("_o", lambda x, i: F.struct(i.alias("n"), x.alias("opener"), F.get(F.col("_o"), i - 1).alias("before")))
+    rows = rows.select(*by, "pos", F.inline(pairs)).where((F.size("opener") == 2) & (F.col("opener") == F.col("before")))
     return rows.select(*by, "pos", "n", F.array_join("opener", " ").alias("phrase"), F.lit(2).alias("count"))
 
 

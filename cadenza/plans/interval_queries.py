@@ -43,6 +43,12 @@ def merge_cuts(s: SparkSession, d: str) -> DataFrame:
     return iv.merge_cuts(spans(s, d, "cuts"))
 
 
+@_add("merge_cuts_in_chunks", "SELECT * FROM merged", MERGED)
+def merge_cuts_in_chunks(s: SparkSession, d: str) -> DataFrame:
+    """The same with each source dealt out by days."""
+    return iv.merge_cuts(spans(s, d, "cuts"), chunk_ms=86_400_000)
+
+
 @_add("absorb_slivers", "SELECT * FROM absorbed", MERGED, ABSORBED)
 def absorb_slivers(s: SparkSession, d: str) -> DataFrame:
     return iv.absorb_slivers(iv.merge_cuts(spans(s, d, "cuts")), min_keep=3_600_000)

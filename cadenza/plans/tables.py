@@ -58,9 +58,11 @@ def lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of orders as segments: each as long as its quantity in seconds, with its line number as the gap before it."""
+    """Lines of orders as segments: each as long as its quantity in seconds, with its line number as the gap before it.
+
+    Dealt out by order once, which serves both windows and whatever is keyed by edl_id after them."""
     order = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_extendedprice")
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_returnflag").withColumn("_n", F.row_number().over(order)).where("_n = 1")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_returnflag").repartition("l_orderkey").withColumn("_n", F.row_number().over(order)).where("_n = 1")
     end = (F.sum(F.col("l_quantity") + F.col("l_linenumber")).over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")) * 1000).cast("long")
     return rows.select(
         F.col("l_orderkey").alias("edl_id"), F.col("l_linenumber").cast("long").alias("pos"), (F.col("l_suppkey") % 3).alias("source_id"),
