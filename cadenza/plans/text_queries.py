@@ -123,13 +123,16 @@ def stacked_openers(s: SparkSession, d: str) -> DataFrame:
     return phrases.stacked_openers(table(s, d, "documents").select(F.col("doc_id").alias("source_id"), F.lit(0).cast("long").alias("pos"), "text"))
 
 
-@_add("meta_lexicon", rf"""SELECT source_id, idx, CASE WHEN lang LIKE 'en%' THEN len(list_filter(f, lambda w: regexp_matches(w, '^(?:{"|".join(tx.SELF_EDIT_EN["stems"])})'))) > 0 OR regexp_matches(line, ' (?:{"|".join(tx.SELF_EDIT_EN["phrases"])}) ') ELSE len(list_filter(f, lambda w: regexp_matches(w, '^(?:{"|".join(tx.SELF_EDIT_ES["stems"])})'))) > 0 OR regexp_matches(line, ' (?:{"|".join(tx.SELF_EDIT_ES["phrases"])}) ') END AS names_edit
-FROM (SELECT *, ' ' || array_to_string(f, ' ') || ' ' AS line FROM (SELECT source_id, lang, idx, list_transform(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''), lambda w: regexp_replace(lower(strip_accents(w)), '[^\p{{L}}\p{{N}}]', '', 'g')) AS f FROM lines))""", LINES)
+LEXICON = rf"""lexicon AS (SELECT source_id, idx, CASE WHEN lang LIKE 'en%' THEN len(list_filter(f, lambda w: regexp_matches(w, '^(?:{"|".join(tx.SELF_EDIT_EN["stems"])})'))) > 0 OR regexp_matches(line, ' (?:{"|".join(tx.SELF_EDIT_EN["phrases"])}) ') ELSE len(list_filter(f, lambda w: regexp_matches(w, '^(?:{"|".join(tx.SELF_EDIT_ES["stems"])})'))) > 0 OR regexp_matches(line, ' (?:{"|".join(tx.SELF_EDIT_ES["phrases"])}) ') END AS names_edit
+FROM (SELECT *, ' ' || array_to_string(f, ' ') || ' ' AS line FROM (SELECT source_id, lang, idx, list_transform(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''), lambda w: regexp_replace(lower(strip_accents(w)), '[^\p{{L}}\p{{N}}]', '', 'g')) AS f FROM lines)))"""
+
+
+@_add("meta_lexicon", "SELECT * FROM lexicon", LINES, LEXICON)
 def meta_lexicon(s: SparkSession, d: str) -> DataFrame:
     return lines(s, d).select("source_id", "idx", tx.names_edit(F.col("text"), F.col("lang")).alias("names_edit"))
 
 
-@_add("self_edits", None)
+@_add("self_edits", "SELECT source_id, lang, idx, text, idx * 5000 AS start_ms, idx * 5000 + 4000 AS end_ms FROM lexicon JOIN lines USING (source_id, idx) WHERE names_edit AND idx % 3 <> 0", LINES, LEXICON)
 def self_edits(s: SparkSession, d: str) -> DataFrame:
     rows = lines(s, d)
     return phrases.self_edits(rows, rows.where("idx % 3 = 0").select("source_id", "start_ms", "end_ms"))
