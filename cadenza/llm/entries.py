@@ -85,5 +85,6 @@ def oracles() -> dict[str, str]:
     out = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
     return out | {
         "op3_source_mixing": mixing.mix_sql(),
+        "op9_near_duplicates": neardup.components_sql(),
         "op8_sharding": f"SELECT doc_id, source, n_chars, slot, {shard} AS shard FROM (SELECT *, {slot} AS slot FROM documents)",
     }

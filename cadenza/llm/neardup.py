@@ -325,3 +325,15 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     found = classes.join(comp.withColumnRenamed("doc_id", "class_id"), "class_id").select("h1", "h2", "n", "comp")
     out = all_rows.join(found, ["h1", "h2", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def components_sql(size: int = 2, percent: int = 80, table: str = "documents") -> str:
+    """DuckDB SQL for the same rows by comparing all pairs that share a shingle; for small tables."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    run = " || ' ' || ".join(f"w[i + {k}]" for k in range(size))
+    return f"""WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM {table}),
+sets AS MATERIALIZED (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {size} THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - {size} + 2), lambda i: {run})) END) AS s FROM t),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+links AS MATERIALIZED (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sets x JOIN sets y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2) JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * c >= {percent} * (p.n + q.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM {table} UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) LEFT JOIN sizes USING (doc_id)"""
