@@ -32,13 +32,13 @@ _POWERS: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the hash base and of its inverse, modulo 2**64."""
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 19)
         out = []
         for base in (_BASE, _BASE_INV):
             x = np.full(size, U64(base), U64)
             x[0] = 1
             out.append(np.cumprod(x, dtype=U64))
-        if size > 1 << 24:  # not kept, so that one long document doesn't hold memory
+        if size > 1 << 20:  # not kept, so that one long document doesn't hold memory
             return out[0], out[1]
         _POWERS[:] = out
     return _POWERS[0][:n], _POWERS[1][:n]
@@ -76,7 +76,7 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def chunks(offsets: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Ranges of whole documents of about `most` bytes; a longer document stands alone."""
     i, n = 0, len(offsets) - 1
     while i < n:

@@ -89,7 +89,7 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return (mix(np.concatenate(bins)) >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate(docs)
 
 
-def _batches(column: pa.Array, most: int = 150_000) -> Iterator[tuple[int, list[str | None]]]:
+def _batches(column: pa.Array, most: int = 100_000) -> Iterator[tuple[int, list[str | None]]]:
     texts, start, size = [], 0, 0
     for i, t in enumerate(column.to_pylist()):
         texts.append(t)

@@ -180,8 +180,8 @@ def _sketch(weight: np.ndarray, rank: int):
         test = gaussian(len(weight), rank)
         total = np.zeros_like(test)
         for batch in batches:
-            for i in range(0, len(batch), 2000):
-                term, value, first = _rows(batch.column("terms").slice(i, 2000), weight)
+            for i in range(0, len(batch), 500):
+                term, value, first = _rows(batch.column("terms").slice(i, 500), weight)
                 if not len(first):
                     continue
                 product = np.add.reduceat(test[term] * value[:, None], first)
@@ -233,8 +233,8 @@ def _search(items: Items, weight: np.ndarray, vectors: np.ndarray, near: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, len(batch), 4000):
-                rows = batch.slice(i, 4000)
+            for i in range(0, len(batch), 1000):
+                rows = batch.slice(i, 1000)
                 term, value, first = _rows(rows.column("terms"), weight)
                 if not len(first) or not len(own):
                     continue
