@@ -25,9 +25,18 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the least doc_id stays. Rows of one key are one document."""
-    found = neardup.components(docs).where("kept").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(found, "doc_id", "left_semi").select(*COLUMNS)
+    """Of each group of near duplicates the document of the least doc_id stays. Rows of one key are one
+    document; rows without a key can't be told apart and stay.
+
+    The few keys that go are joined to the texts, which aren't shuffled for that."""
+    found = materialise(neardup.components(docs).groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_and("kept").alias("kept")), "found")
+    again = found.where("kept AND n > 1").select("doc_id")
+    few = lambda ids: F.broadcast(ids) if ids.count() <= neardup.MOST_BROADCAST else ids
+    once = docs.join(few(found.where("NOT kept OR n > 1").select("doc_id")), "doc_id", "left_anti")
+    out = once.select(*COLUMNS)
+    if again.limit(1).count():
+        out = out.unionByName(docs.join(few(again), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS))
+    return out
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,6 +35,12 @@ def test_stages_keep_and_drop(spark):
     assert rows(corpus_pipeline.run(spark, str(DATA)), "doc_id", "shard") == rows(before, "doc_id", "shard")
 
 
+def test_repeated_and_missing_keys(spark):
+    same = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(1, same), (1, same), (2, same), (3, "else"), (3, "else"), (None, same)], "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "1L AS n_chars")
+    assert sorted((r["doc_id"] or 0) for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()) == [0, 1, 3]
+
+
 @pytest.mark.parametrize("name", sorted(entries.oracles()))
 def test_queries_with_sql(spark, name):
     c = duckdb.connect()
