@@ -377,7 +377,7 @@ def scalar_parsers(s: SparkSession, d: str) -> DataFrame:
 
 @_add("edit_build", None)
 def edit_build(s: SparkSession, d: str) -> DataFrame:
-    marked = spans(s, d, "proposals").where(F.col("start_ms") < MONTH_MS).select("source_id", "start_ms", F.least("end_ms", F.lit(MONTH_MS)).alias("end_ms"), F.lit("filler").alias("kind"), F.lit("marked").alias("reason"))
+    marked = spans(s, d, "proposals").where(F.col("start_ms") < MONTH_MS).select("source_id", "start_ms", F.least("end_ms", F.lit(MONTH_MS)).alias("end_ms"), F.lit("filler").alias("kind"), F.lit("marked").alias("reason")).where("end_ms > start_ms")
     return build.build_edit(spans(s, d, "silences"), spans(s, d, "words"), marked, lengths(s, d), bucket_ms=BUCKET_MS)
 
 
