@@ -42,9 +42,18 @@ def build_lines(words: DataFrame, silences: DataFrame, by: Sequence[str] = BY, b
 
 def repeated_phrases(lines: DataFrame, by: Sequence[str] = BY, lang: str = "lang") -> DataFrame:
     """Three-word runs that lines(by, idx, text, lang) say more than once in all: phrase, count, lines, content_words, discounted."""
-    rows = lines.withColumn("_w", tx.words(F.col("text"))).withColumn("phrase", F.explode(F.array_distinct(tx.ngrams(F.col("_w"), tx.RUN))))
-    rows = rows.withColumn("_n", tx.count_run(F.col("_w"), F.col("phrase")))
-    out = rows.groupBy(*by, lang, "phrase").agg(F.sum("_n").alias("count"), F.count("*").alias("lines")).where(F.col("count") > 1)
+    # The words are a column of their own, or each run would split its line anew.
+    split = lines.select(*by, lang, F.col("idx").cast("long").alias("idx"), tx.words(F.col("text")).alias("_w"))
+    runs = split.select(*by, lang, "idx", F.posexplode(tx.ngrams(F.col("_w"), tx.RUN)).alias("p", "phrase"))
+    groups = runs.groupBy(*by, lang, "phrase").agg(F.count("*").alias("_n"), F.collect_list(F.struct("idx", "p")).alias("_at")).where("_n > 1")
+    # Places are taken from the left; one that overlaps the last taken in its line doesn't count.
+    start = F.struct(F.lit(-1).cast("long").alias("line"), F.lit(0).alias("next"), F.lit(0).cast("long").alias("n"))
+    take = lambda acc, x: F.when(
+        (x["idx"] != acc["line"]) | (x["p"] >= acc["next"]), F.struct(x["idx"].alias("line"), (x["p"] + tx.RUN).alias("next"), (acc["n"] + 1).alias("n"))
+    ).otherwise(acc)
+    count = F.aggregate(F.array_sort("_at"), start, take, lambda acc: acc["n"])
+    places = F.size(F.array_distinct(F.transform("_at", lambda x: x["idx"]))).cast("long")
+    out = groups.select(*by, lang, "phrase", count.alias("count"), places.alias("lines")).where(F.col("count") > 1)
     out = out.withColumn("content_words", tx.content_count(F.split("phrase", " "), F.col(lang)))
     return out.withColumn("discounted", F.col("content_words") < tx.CONTENT_FLOOR)
 
