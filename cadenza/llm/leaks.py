@@ -2,8 +2,10 @@
 
 Items and documents are cut into passages of WINDOW words, each beginning STRIDE after the
 last. A passage is a TF-IDF vector over the benchmark's telling words: the RAREST words of
-each item among those that occur, by their document frequency in the corpus. A leak shares telling words with its
-item (see 4), so passages without LEAST_TERMS of any one item's stay out.
+each item passage among those that occur, by their document frequency in the corpus. Of a copy of an
+item some document passage holds half of an item passage's telling words or more, however long the
+item is, so passages with fewer (at most LEAST_TERMS) of any one stretch of an item stay out. A
+stretch is two passages long and begins every WINDOW words, so that it holds any passage of a copy.
 
 1. Document frequencies are counted over all passages of all documents.
 2. The right singular space of the passage matrix A is found by a distributed randomised
@@ -13,7 +15,8 @@ item (see 4), so passages without LEAST_TERMS of any one item's stay out.
 3. Every passage is projected and compared to all passages of all items; those of a cosine
    of NEAR or more are candidates.
 4. A candidate's stretch of text is held against the whole item: the longest common
-   subsequence of words, of telling words, and of the item's last third (its answer).
+   subsequence of words, of telling words, and of the item's last third (its answer). Telling words
+   are here those of passages or the RAREST of whole items, whichever finds more.
    A leak has LCS of the item's words at FULL or more, or at PART with the answer at ANSWER.
 
 The benchmark is the query set and is held in memory in slices of MOST_ITEMS items; terms and
@@ -90,26 +93,43 @@ class Items:
         self.terms = np.unique(self.words)
 
     def telling(self, frequency: np.ndarray) -> np.ndarray:
-        """Which terms are among the RAREST of an item. Keeps the items of each term in `owners`."""
+        """Which terms are among the RAREST of an item passage. Keeps the stretches of items that
+        each term is telling for in `owners`, how many of its terms a passage needs in `need`, and
+        which terms are among the RAREST of a whole item in `rarest`."""
         number = self.number(self.words)
-        pairs = []
-        for i, (s, e) in enumerate(zip(self.at[:-1], self.at[1:], strict=True)):
-            own = np.unique(number[s:e])
+        self.rarest = np.zeros(len(self.terms), bool)
+
+        def scarce(own: np.ndarray) -> np.ndarray:
+            own = np.unique(own)
             own = own[frequency[own] > 0]  # a word that no document has finds none
-            own = own[np.lexsort((own, frequency[own]))[:RAREST]]
-            pairs.append(np.stack([own, np.full(len(own), i)], 1))
-        term, item = np.concatenate(pairs).T
+            return own[np.lexsort((own, frequency[own]))[:RAREST]]
+
+        term, stretch, self.need = [], [], []
+        for s, e in zip(self.at[:-1].tolist(), self.at[1:].tolist(), strict=True):
+            start, end, _ = windows(np.array([s, e]))
+            picked = [scarce(number[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+            self.rarest[scarce(number[s:e])] = True
+            for k in range(0, max(len(picked) - 2, 1) if picked else 0, WINDOW // STRIDE):
+                near = picked[k : k + 3]  # the passages that lie in a stretch
+                own = np.unique(np.concatenate(near))
+                most = max(len(x) for x in near)
+                # A document passage holds an item this short whole; of a longer one two share a passage's terms.
+                term.append(own)
+                stretch.append(np.full(len(own), len(self.need)))
+                self.need.append(min(LEAST_TERMS, most if e - s <= WINDOW - STRIDE + 1 else -(-most // 2)))
+        self.need = np.array(self.need, np.int64)
+        term, stretch = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (term, stretch))
         order = np.argsort(term, kind="stable")
-        self.owners, self.owned = item[order], np.searchsorted(term[order], np.arange(len(self.terms) + 1))
+        self.owners, self.owned = stretch[order], np.searchsorted(term[order], np.arange(len(self.terms) + 1))
         return np.diff(self.owned) > 0
 
-    def near_one(self, passage: np.ndarray, term: np.ndarray, least: int) -> np.ndarray:
-        """Passages with at least `least` telling words of one item (or all that it has)."""
+    def near_one(self, passage: np.ndarray, term: np.ndarray) -> np.ndarray:
+        """Passages with as many telling words of one stretch of an item as it needs."""
         count = np.diff(self.owned)[term]
         at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.owned[term], count)
         key = np.sort((np.repeat(passage, count) << 32) | self.owners[at])
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        enough = np.diff(np.append(first, len(key))) >= np.minimum(least, np.bincount(self.owners, minlength=len(self.ids)))[key[first] & 0xFFFFFFFF]
+        enough = np.diff(np.append(first, len(key))) >= self.need[key[first] & 0xFFFFFFFF]
         return np.unique(key[first[enough]] >> 32)
 
     def number(self, h: np.ndarray) -> np.ndarray:
@@ -148,7 +168,7 @@ def _passages(items: Items, weight: np.ndarray):
             number[(number >= 0) & (weight[number] == 0)] = -1
             passage, term, times = cells(number, start, end)
             kinds = np.bincount(passage, minlength=len(start))
-            picked = items.near_one(passage, term, LEAST_TERMS)
+            picked = items.near_one(passage, term)
             if not len(picked):
                 continue
             first = np.searchsorted(passage, picked)
@@ -263,11 +283,11 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
 
 
 def _judge(items: Items, weight: np.ndarray):
-    # Words by number: an item's own words, and those that have weight.
+    # Words by number: an item's own words, those that have weight and those that are among the rarest of an item.
     number = items.number(items.words)
-    heavy = weight[number] > 0
+    kinds_of = (weight > 0, items.rarest)
     whole = [number[s:e].tolist() for s, e in zip(items.at[:-1], items.at[1:], strict=True)]
-    weighted = [number[s:e][heavy[s:e]].tolist() for s, e in zip(items.at[:-1], items.at[1:], strict=True)]
+    weighted = [[number[s:e][heavy[number[s:e]]].tolist() for heavy in kinds_of] for s, e in zip(items.at[:-1], items.at[1:], strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -285,8 +305,7 @@ def _judge(items: Items, weight: np.ndarray):
                     lcs = common_subsequence(a, stretch.tolist()) / len(a)
                     if lcs < PART:
                         continue
-                    heavy_words = weighted[i]
-                    share = common_subsequence(heavy_words, stretch[weight[stretch] > 0].tolist()) / max(1, len(heavy_words))
+                    share = max(common_subsequence(x, stretch[heavy[stretch]].tolist()) / max(1, len(x)) for x, heavy in zip(weighted[i], kinds_of, strict=True))
                     tail = a[-max(1, len(a) // 3) :]
                     answer = common_subsequence(tail, stretch.tolist()) / len(tail)
                     if (lcs >= FULL and share >= WEIGHTED) or (answer >= ANSWER and share >= WEIGHTED_PART):

@@ -222,6 +222,21 @@ def test_leaks(spark):
     assert leaks.find_leaks(docs(spark, texts).limit(0), bench).count() == 0
 
 
+def test_long_leaks_against_all_pairs(spark):
+    pick = random.Random(5)
+    make = lambda n: [f"w{int(9000 ** pick.random())}" if pick.random() < 0.4 else f"v{pick.randint(0, 9000)}" for _ in range(n)]
+    items = [make(n) for n in (300, 500, 500, 800, 1000, 1000) + (100,) * 6 + (150,) * 6]
+    texts = [make(400) for _ in range(120)]
+    for i, item in enumerate(items):
+        copy = item if i < 6 else [w if pick.random() < 0.68 else make(1)[0] for w in item]
+        texts[5 * i] = make(pick.randint(0, 60)) + copy + make(pick.randint(0, 60))
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = rows(leaks.find_leaks(docs(spark, [" ".join(t) for t in texts]), bench), "doc_id", "item_id")
+    want = [(d, i) for d, t in enumerate(texts) for i, a in enumerate(items) if leaks.common_subsequence(a, t) >= leaks.FULL * len(a)]
+    assert {(5 * i, i) for i in range(6)} <= set(want) and len(want) >= 16
+    assert got == want
+
+
 def test_mixing_both_ways(spark):
     pick = random.Random(8)
     data = [(i, pick.choice(["a b c", "x | y", "k*** l", "by license", None]), pick.choice(["en", "de", "xx", None]), f"s{pick.randint(0, 5)}") for i in range(400)]
