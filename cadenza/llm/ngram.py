@@ -75,7 +75,7 @@ class Trie:
         self.words, self.pairs, self.total, self.distinct = (int(x) for x in head[:4])
         held = np.memmap(path, np.uint8, "r")
         at, parts = 128, []
-        for size, kind in zip(head[4:13].tolist(), (U64, U64, U64, U64, U64, U64, np.uint32, np.uint8, np.uint8), strict=True):
+        for size, kind in zip(head[4:13].tolist(), (U64, U64, U64, U64, U64, U64, U64, np.uint8, np.uint8), strict=True):
             parts.append(held[at : at + size].view(kind))
             at += (size + 7) // 8 * 8
         self.names = EliasFano(self.words, int(head[13]), parts[0], parts[1])
@@ -94,7 +94,7 @@ class Trie:
         a = EliasFano.levels(names, 1 << 64)
         b = EliasFano.levels(np.concatenate([[0], np.cumsum(kinds)]), len(context) + 1)
         c = EliasFano.levels((context.astype(U64) << U64(NAME_BITS)) | follower.astype(U64), max(1, len(names)) << NAME_BITS)
-        parts = [a[1], a[2], b[1], b[2], c[1], c[2], counts.astype(np.uint32), quantise(weight), quantise(chance)]
+        parts = [a[1], a[2], b[1], b[2], c[1], c[2], counts.astype(U64), quantise(weight), quantise(chance)]
         head = [len(names), len(context), int(counts.sum()), int((counts > 0).sum()), *(x.nbytes for x in parts), a[0], b[0], c[0]]
         with open(path, "wb") as f:
             f.write(np.array(head, np.int64).tobytes())
@@ -219,7 +219,7 @@ def _answers(discount: float):
 
 def _scores(key: tuple[pa.Scalar, ...], docs: pa.Table, answers: pa.Table) -> pa.Table:
     block = Block(docs, np.zeros(len(docs), bool))
-    parts = [unpack(x["answer"], np.int64, np.uint32, np.uint8, np.uint8) for x in sorted(answers.to_pylist(), key=lambda x: x["shard"])]
+    parts = [unpack(x["answer"], np.int64, U64, np.uint8, np.uint8) for x in sorted(answers.to_pylist(), key=lambda x: x["shard"])]
     total, distinct = sum(int(x[0][0]) for x in parts), sum(int(x[0][1]) for x in parts)
     count, weight, chance = (np.concatenate([x[k] for x in parts]) for k in (1, 2, 3))
     if len(count) != len(block.words) or len(chance) != len(block.pairs):

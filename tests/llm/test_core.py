@@ -77,6 +77,13 @@ def test_trie_answers_from_its_file(tmp_path):
     assert (trie.chance(np.array([0, 0, 1, 2]), np.array([7, 8, 7, 7], np.uint64)) > 0).tolist() == [True, False, False, True]
 
 
+def test_trie_keeps_large_counts(tmp_path):
+    counts = np.array([2**32 + 5, 0, 2**40])
+    Trie.write(str(tmp_path / "t"), np.array([5, 70, 900], np.uint64), counts, np.array([0]), np.array([7], np.uint64), np.array([2**32 + 5]), 0.75)
+    trie = Trie(str(tmp_path / "t"))
+    assert trie.counts.tolist() == counts.tolist() and (trie.total, trie.distinct) == (counts.sum(), 2)
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(1)
     for j in (0.3, 0.8, 0.95):
