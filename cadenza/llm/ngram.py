@@ -40,16 +40,17 @@ BLOCK_BYTES = 12_000_000
 DISCOUNT = 0.75
 BEGIN, END = mix(np.array([0xB0, 0xE0], U64))
 NAME_BITS = 40
-#: Probabilities and weights are kept as one byte of a logarithmic scale.
-STEP = 8.0 / 254
-LEVELS = np.concatenate([[0.0], 10.0 ** -(np.arange(255) * STEP)])
+#: Probabilities and weights are kept as two bytes of a logarithmic scale. It reaches down to 1e-20,
+#: below (1 - DISCOUNT) / c for any count c of 64 bits.
+STEP = 20.0 / 65534
+LEVELS = np.concatenate([[0.0], 10.0 ** -(np.arange(65535) * STEP)])
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
     """Codes of probabilities; 0 stands for probability 0."""
     with np.errstate(divide="ignore"):
-        code = 1 + np.clip(np.rint(-np.log10(p) / STEP), 0, 254)
-    return np.where(p > 0, code, 0).astype(np.uint8)
+        code = 1 + np.clip(np.rint(-np.log10(p) / STEP), 0, 65534)
+    return np.where(p > 0, code, 0).astype(np.uint16)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -75,7 +76,7 @@ class Trie:
         self.words, self.pairs, self.total, self.distinct = (int(x) for x in head[:4])
         held = np.memmap(path, np.uint8, "r")
         at, parts = 128, []
-        for size, kind in zip(head[4:13].tolist(), (U64, U64, U64, U64, U64, U64, U64, np.uint8, np.uint8), strict=True):
+        for size, kind in zip(head[4:13].tolist(), (U64, U64, U64, U64, U64, U64, U64, np.uint16, np.uint16), strict=True):
             parts.append(held[at : at + size].view(kind))
             at += (size + 7) // 8 * 8
         self.names = EliasFano(self.words, int(head[13]), parts[0], parts[1])
@@ -112,12 +113,12 @@ class Trie:
     def chance(self, context: np.ndarray, follower: np.ndarray) -> np.ndarray:
         """Codes of the discounted probabilities of followers (40-bit names) after contexts (positions)."""
         if not self.pairs:
-            return np.zeros(len(context), np.uint8)
+            return np.zeros(len(context), np.uint16)
         key = (context.astype(U64) << U64(NAME_BITS)) | follower
         at = self.successors.successor(key)
         safe = np.minimum(at, self.pairs - 1)
         hit = (at < self.pairs) & (self.successors.access(safe) == key)
-        return np.where(hit, self.chances[safe], 0).astype(np.uint8)
+        return np.where(hit, self.chances[safe], 0).astype(np.uint16)
 
 
 class Block:
@@ -206,7 +207,7 @@ def _answers(discount: float):
             trie = Trie(path)
             for name, _, kinds, follower, _ in asked:
                 at, _ = trie.find(name)
-                codes = np.empty(len(follower), np.uint8)
+                codes = np.empty(len(follower), np.uint16)
                 where = np.repeat(at, kinds)
                 for i in range(0, len(codes), 1 << 18):
                     codes[i : i + (1 << 18)] = trie.chance(where[i : i + (1 << 18)], follower[i : i + (1 << 18)])
@@ -219,7 +220,7 @@ def _answers(discount: float):
 
 def _scores(key: tuple[pa.Scalar, ...], docs: pa.Table, answers: pa.Table) -> pa.Table:
     block = Block(docs, np.zeros(len(docs), bool))
-    parts = [unpack(x["answer"], np.int64, U64, np.uint8, np.uint8) for x in sorted(answers.to_pylist(), key=lambda x: x["shard"])]
+    parts = [unpack(x["answer"], np.int64, U64, np.uint16, np.uint16) for x in sorted(answers.to_pylist(), key=lambda x: x["shard"])]
     total, distinct = sum(int(x[0][0]) for x in parts), sum(int(x[0][1]) for x in parts)
     count, weight, chance = (np.concatenate([x[k] for x in parts]) for k in (1, 2, 3))
     if len(count) != len(block.words) or len(chance) != len(block.pairs):

@@ -13,7 +13,7 @@ from cadenza.llm.fingerprint import _of, likeness
 from cadenza.llm.leaks import common_subsequence
 from cadenza.llm.mixing import rake, rate_for
 from cadenza.llm.neardup import likeliest, shingle_sets, sketches
-from cadenza.llm.ngram import Trie
+from cadenza.llm.ngram import LEVELS, Trie
 from cadenza.llm.sharding import fill
 from cadenza.llm.substring import repeated_windows
 from cadenza.llm.suffix import common_prefixes, suffix_array
@@ -84,6 +84,17 @@ def test_trie_keeps_large_counts(tmp_path):
     assert trie.counts.tolist() == counts.tolist() and (trie.total, trie.distinct) == (counts.sum(), 2)
 
 
+@pytest.mark.parametrize("many", [10, 4 * 10**8, 10**13])
+def test_trie_chances_after_frequent_contexts(tmp_path, many):
+    times = np.array([many, 1, 2])
+    Trie.write(str(tmp_path / "t"), np.array([5, 70], np.uint64), np.array([many + 3, 0]), np.zeros(3, np.int64), np.array([7, 8, 9], np.uint64), times, 0.75)
+    trie = Trie(str(tmp_path / "t"))
+    got = LEVELS[trie.chance(np.zeros(3, np.int64), np.array([7, 8, 9], np.uint64))]
+    assert got == pytest.approx((times - 0.75) / times.sum(), rel=5e-4, abs=0)
+    assert LEVELS[trie.weights[0]] == pytest.approx(0.75 * 3 / times.sum(), rel=5e-4, abs=0)
+    assert got.sum() + LEVELS[trie.weights[0]] == pytest.approx(1, abs=5e-4)
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(1)
     for j in (0.3, 0.8, 0.95):
