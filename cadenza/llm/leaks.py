@@ -23,7 +23,8 @@ The benchmark is the query set and is held in memory in slices of MOST_ITEMS ite
 singular vectors are bounded by it. Neither grows with the documents.
 
 Defined cases: null or empty text has no passage and no leak; null or empty items match
-nothing; repeated items and rows are each reported; an empty benchmark or corpus gives no
+nothing; repeated items and rows are each reported, and so are rows without a key (candidates go by
+a hash of key and text, so such rows stay apart); an empty benchmark or corpus gives no
 rows; other columns are ignored.
 """
 
@@ -34,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
@@ -143,7 +144,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.nda
     for batch in batches:
         data, offsets = as_bytes(pc.utf8_lower(batch.column("text")))
         for i, j in chunks(offsets):
-            yield batch.column("doc_id")[i:j], *plain_words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            yield batch.column(0)[i:j], *plain_words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
 
 def _frequencies(items: Items):
@@ -174,7 +175,7 @@ def _passages(items: Items, weight: np.ndarray):
             first = np.searchsorted(passage, picked)
             packed = np.stack([term.astype(np.int32), times.astype(np.int32)], 1)
             blobs = [packed[a : a + k].tobytes() for a, k in zip(first.tolist(), kinds[picked].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(own[picked])), pa.array((start - at[own])[picked].astype(np.int64)), pa.array(blobs, pa.binary())], ["doc_id", "place", "terms"])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(own[picked])), pa.array((start - at[own])[picked].astype(np.int64)), pa.array(blobs, pa.binary())], ["row", "place", "terms"])
 
     return run
 
@@ -262,7 +263,7 @@ def _search(items: Items, weight: np.ndarray, vectors: np.ndarray, near: float):
                 mine /= np.maximum(np.linalg.norm(mine, axis=1), 1e-9)[:, None]
                 cosine = mine.astype(np.float32) @ theirs
                 r, c = np.nonzero(cosine >= near)
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(r)), pa.array(own[c].astype(np.int32)), rows.column("place").take(pa.array(r)), pa.array(cosine[r, c].astype(np.float64))], ["doc_id", "item", "place", "cosine"])
+                yield pa.RecordBatch.from_arrays([rows.column("row").take(pa.array(r)), pa.array(own[c].astype(np.int32)), rows.column("place").take(pa.array(r)), pa.array(cosine[r, c].astype(np.float64))], ["row", "item", "place", "cosine"])
 
     return run
 
@@ -293,7 +294,7 @@ def _judge(items: Items, weight: np.ndarray):
         for batch in batches:
             data, offsets = as_bytes(pc.utf8_lower(batch.column("text")))
             out: list[tuple] = []
-            for k, (doc, found) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("found").to_pylist(), strict=True)):
+            for k, (row, doc, found) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "found")), strict=True)):
                 h, _ = plain_words(data[offsets[k] : offsets[k + 1]], np.array([0, offsets[k + 1] - offsets[k]]))
                 text = items.number(h)
                 best: dict[int, tuple] = {}
@@ -310,22 +311,27 @@ def _judge(items: Items, weight: np.ndarray):
                     answer = common_subsequence(tail, stretch.tolist()) / len(tail)
                     if (lcs >= FULL and share >= WEIGHTED) or (answer >= ANSWER and share >= WEIGHTED_PART):
                         best[i] = max(best.get(i, (0.0, 0.0, 0.0, 0)), (lcs, answer, hit["cosine"], -hit["place"]))
-                out += [(doc, int(items.ids[i]), c, x, y, -p) for i, (x, y, c, p) in best.items()]
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["doc_id", "item_id", "cosine", "lcs", "answer", "place"])
+                out += [(doc, int(items.ids[i]), c, x, y, -p, row) for i, (x, y, c, p) in best.items()]
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["doc_id", "item_id", "cosine", "lcs", "answer", "place", "row"])
 
     return run
 
 
-RESULT = "doc_id long, item_id long, cosine double, lcs double, answer double, place long"
+RESULT = "doc_id long, item_id long, cosine double, lcs double, answer double, place long, row long"
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, near: float = NEAR) -> DataFrame:
+def row_of() -> Column:
+    """Tells rows of docs(doc_id, text) apart that have one key or none."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, near: float = NEAR, with_row: bool = False) -> DataFrame:
     """(doc_id, item_id, cosine, lcs, answer, place) for each item that a document leaks; place
-    counts words from the document's start to the passage."""
+    counts words from the document's start to the passage. with_row adds row, the document's row_of."""
     bound_batches(docs.sparkSession)
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", row_of())
     slices = max(1, -(-benchmark.count() // MOST_ITEMS))
     out = spark.createDataFrame([], RESULT)
     for k in range(slices):
@@ -333,19 +339,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, near: fl
         items = Items(sorted(((r["item_id"], r["text"]) for r in rows if r["item_id"] is not None), key=lambda r: (r[0], r[1] or "")))
         if len(items.terms):
             out = out.unionByName(_leaks(docs, items, rank, near))
-    return out
+    return out if with_row else out.drop("row")
 
 
 def _leaks(docs: DataFrame, items: Items, rank: int, near: float) -> DataFrame:
-    seen = {r["term"]: r["n"] for r in docs.mapInArrow(_frequencies(items), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator()}
+    seen = {r["term"]: r["n"] for r in docs.select("row", "text").mapInArrow(_frequencies(items), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator()}
     total = max(1, seen.get(-1, 0))
     frequency = np.array([seen.get(t, 0) for t in range(len(items.terms))], np.float64)
     weight = np.log(1 + (1 + total) / (1 + frequency)) * items.telling(frequency)
-    passages = materialise(docs.mapInArrow(_passages(items, weight), "doc_id long, place long, terms binary"), "passages")
+    passages = materialise(docs.select("row", "text").mapInArrow(_passages(items, weight), "row long, place long, terms binary"), "passages")
     vectors, _ = singular_space(passages, weight, rank)
-    hits = passages.mapInArrow(_search(items, weight, vectors, near), "doc_id long, item int, place long, cosine double")
+    hits = passages.mapInArrow(_search(items, weight, vectors, near), "row long, item int, place long, cosine double")
     # One stretch covers the passages that overlap it: of those the likeliest is held against the item.
-    hits = hits.groupBy("doc_id", "item", F.floor(F.col("place") / WINDOW).alias("at")).agg(F.max(F.struct("cosine", "place")).alias("x"))
-    found = materialise(hits.groupBy("doc_id").agg(F.collect_list(F.struct("item", F.col("x.place").alias("place"), F.col("x.cosine").alias("cosine"))).alias("found")), "candidates")
+    hits = hits.groupBy("row", "item", F.floor(F.col("place") / WINDOW).alias("at")).agg(F.max(F.struct("cosine", "place")).alias("x"))
+    found = materialise(hits.groupBy("row").agg(F.collect_list(F.struct("item", F.col("x.place").alias("place"), F.col("x.cosine").alias("cosine"))).alias("found")), "candidates")
     small = found.count() <= MOST_BROADCAST and found.select(F.coalesce(F.sum(F.size("found")), F.lit(0)).alias("n")).first()["n"] <= MOST_BROADCAST
-    return docs.join(F.broadcast(found) if small else found, "doc_id").mapInArrow(_judge(items, weight), RESULT)
+    return docs.join(F.broadcast(found) if small else found, "row").mapInArrow(_judge(items, weight), RESULT)

@@ -40,9 +40,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    found = leaks.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(materialise(found.select("doc_id").distinct(), "leaks"), "doc_id", "left_anti").select(*COLUMNS)
+    """Documents that hold a benchmark item go: all rows of their key, or without a key the row itself."""
+    found = leaks.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), with_row=True)
+    keyless = lambda row: F.when(F.col("doc_id").isNull(), row)
+    gone = materialise(found.select(F.col("doc_id").alias("key"), keyless(F.col("row")).alias("row")).distinct(), "leaks")
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("key")) & keyless(leaks.row_of()).eqNullSafe(F.col("row")), "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

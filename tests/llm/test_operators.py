@@ -222,6 +222,14 @@ def test_leaks(spark):
     assert leaks.find_leaks(docs(spark, texts).limit(0), bench).count() == 0
 
 
+def test_leaks_without_a_key(spark):
+    item, other = (" ".join(f"{p}{i}" for i in range(40)) for p in "ab")
+    df = spark.createDataFrame([(None, f"so {item} end"), (None, "nothing here"), (None, None), (None, other), (3, item), (3, item), (4, "plain")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, other)], "item_id long, text string")
+    got = Counter((r["doc_id"], r["item_id"]) for r in leaks.find_leaks(df, bench).collect())
+    assert got == {(None, 1): 1, (None, 2): 1, (3, 1): 2}
+
+
 def test_long_leaks_against_all_pairs(spark):
     pick = random.Random(5)
     make = lambda n: [f"w{int(9000 ** pick.random())}" if pick.random() < 0.4 else f"v{pick.randint(0, 9000)}" for _ in range(n)]

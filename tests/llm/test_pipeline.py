@@ -41,6 +41,13 @@ def test_repeated_and_missing_keys(spark):
     assert sorted((r["doc_id"] or 0) for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()) == [0, 1, 3]
 
 
+def test_leaks_without_a_key_go(spark, tmp_path):
+    item = " ".join(f"w{i}" for i in range(40))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    df = spark.createDataFrame([(None, f"so {item} end"), (None, "plain"), (None, None), (3, item), (3, "else"), (4, "plain")], "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "1L AS n_chars")
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in corpus_pipeline.drop_leaks(spark, df, str(tmp_path)).collect()) == [(0, ""), (0, "plain"), (4, "plain")]
+
+
 @pytest.mark.parametrize("name", sorted(entries.oracles()))
 def test_queries_with_sql(spark, name):
     c = duckdb.connect()
