@@ -245,18 +245,6 @@ def test_long_leaks_against_all_pairs(spark):
     assert got == want
 
 
-def test_mixing_both_ways(spark):
-    pick = random.Random(8)
-    data = [(i, pick.choice(["a b c", "x | y", "k*** l", "by license", None]), pick.choice(["en", "de", "xx", None]), f"s{pick.randint(0, 5)}") for i in range(400)]
-    df = spark.createDataFrame(data, DOC).withColumn("p", F.lit(7))
-    a, b = ({r["doc_id"]: r for r in mixing.mix(df, rounds=6, most_cells=n).collect()} for n in (10**6, 0))
-    assert len(a) == 400
-    for i, r in a.items():
-        assert r["weight"] == pytest.approx(b[i]["weight"], rel=1e-9) and r["p"] == pytest.approx(b[i]["p"], rel=1e-6)
-    assert sum(r["n_tokens"] * r["p"] for r in a.values()) == pytest.approx(0.5 * sum(r["n_tokens"] for r in a.values()))
-    assert mixing.mix(df.limit(0)).count() == 0
-
-
 def test_placement(spark):
     table = sharding.fill([f"shard-{i:05d}" for i in range(64)])
     for r in sharding.place(docs(spark, ["a"] * 50, slot="clash")).collect():
