@@ -3,16 +3,18 @@
 A rule is a host and a path prefix (`org/`, `example.org/es/`); it fits the host and its
 subdomains where the path begins with the prefix, and the longest rule decides. Other
 URLs are judged by trees boosted on the logistic loss over lexical features: lengths,
-depth, digit ratio, entropies, parameter counts, hyphens, labels, vowels, and smoothed
-block rates of the host's suffix, of the file suffix and of the words and runs of GRAM
-letters in the host, as counted in the labelled URLs.
+depth, digit ratios, entropies, parameter counts, hyphens, labels, vowels, runs without one, and
+smoothed block rates of the host's suffix, of the file suffix, of the words and runs of GRAM
+letters in the host, of the words of the path and of parameter names, as counted in the labelled URLs.
 
 The trees are fitted on the driver on at most MOST_ROWS labelled URLs, a hash sample if there
-are more. `seed_urls` gives labelled URLs by rule where there are no others.
+are more (`fit`). `seed_urls` gives labelled URLs by rule where there are no others.
 
 Defined cases: a null url or one without `://` has an empty host and path, fits no rule and
-is judged by the trees on zero lengths; repeated rows are judged alike; an empty path fits
-no rule; extra columns named like the outputs are replaced.
+is judged by the trees on zero lengths; a null key is returned as it is; repeated rows are judged
+alike; an empty path fits no rule; an empty table gives no rows; labelled rows without url or label
+are left out, and without any the trees say nothing is blocked; extra columns named like the outputs
+are replaced.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -31,36 +34,92 @@ MOST_ROWS = 50_000
 MOST_RULES = 1000
 ROUNDS, DEPTH, RATE, BINS, GRAM = 60, 3, 0.2, 32, 4
 
-# Words of hosts that block lists hold, and common words of others.
-ABUSE_WORDS = (
-    "casino poker bet bets betting slots jackpot lottery gambling adult xxx porn sex cams escort spam farm pills viagra cialis pharma replica "
-    "loan loans payday crypto win winner prize free cheap hack crack warez torrent click traffic bonus"
+# Word lists of the built-in URLs.
+_LURES = "secure login signin verify account update billing support wallet bank password confirm recovery unlock alert".split()
+_VICES = "casino poker bet slots jackpot lottery roulette adult xxx porn sex nude cams escort hookup fetish".split()
+_SPAM = "pills viagra cialis replica payday crypto forex warez crack keygen torrent hack prize giveaway bonus miracle detox".split()
+_PLAIN = (
+    "news blog wiki docs book library school city garden music travel science history review journal weather recipe forum home health sport art photo code data "
+    "research museum press times post daily letter note river mountain bridge window alphabet market street paper north south green stone light water field family"
 ).split()
-PLAIN_WORDS = (
-    "news blog wiki docs book library school city garden music travel science history review journal weather recipes forum support shop home health "
-    "sport art photo code open data research museum press times post daily letters notes"
-).split()
-_SUFFIXES = ("com", "net", "org", "info", "co.uk", "de", "fr", "es", "io", "edu")
-
-
-def seed_urls(n: int = 4000, seed: int = 7) -> list[tuple[str, int]]:
-    """Labelled URLs (1: block) made by rule from the word lists and invented syllables."""
+_TRADES = "cheap free win best top buy deal credit loan bonus game play card click".split()
+_CHEAP_ENDS = "tk ml ga cf gq top xyz click loan win bid ru cn cc pw icu buzz bet".split()
+_ENDS = "com com com com net org org info io edu gov co.uk ac.uk de de fr fr es es it nl ch ca eu".split()
+_TRACKERS = "aff clickid sub1 sub2 cid sid token session redirect u p uid hash pid utm".split()
+# The commonest pairs of letters in English, and syllables.
+_PAIRS = "th he in er an re nd at on nt ha es st en ed to it ou ea hi is or ti as te et ng of al de se le sa si ar ve ra ld ur".split()
+_SYLLABLES = "an ber chan del dra for gra hol jo kin lin mor ne ol per qui ra sol ti un ver wo ya zen sten brook th er land ton wick ford mar el so ble ing sh".split()
+_COMMON = "id page ref lang sort color size source utm_source utm_medium q t tag year sid session".split()
+_TOPICS = "how to best way of the a guide learn new first why what for in on with making report story plan year people world house open local".split()
+
+
+def _name(pick: random.Random) -> str:
+    return "".join(pick.choice(_SYLLABLES if pick.random() < 0.6 else _PAIRS) for _ in range(pick.randint(2, 5)))
+
+
+def _noise(pick: random.Random, n: int, letters: str = "abcdefghijklmnopqrstuvwxyz0123456789") -> str:
+    return "".join(pick.choice(letters) for _ in range(n))
+
+
+def _query(pick: random.Random, names: list[str], n: int) -> str:
+    return "?" + "&".join(f"{x}={_noise(pick, pick.randint(1, 16))}" for x in pick.sample(names, n)) if n else ""
+
+
+def _bad(pick: random.Random) -> str:
+    swap = lambda word: "".join({"l": "1", "o": "0", "e": "3", "i": "1", "a": "4", "s": "5"}.get(c, c) if pick.random() < 0.5 else c for c in word)
+    name, kind = _name(pick), pick.randint(0, 4)
+    end = pick.choice(_CHEAP_ENDS if pick.random() < 0.6 else _ENDS)
+    if kind == 0:  # a look-alike that asks for a password
+        parts = [swap(name), *pick.sample(_LURES, pick.randint(1, 3))]
+        pick.shuffle(parts)
+        host = pick.choice(["-", "-", "."]).join(parts) + "." + end
+        path = "/" + "/".join(pick.sample(_LURES, pick.randint(0, 2))) + pick.choice(["", ".php", ".html", "/"])
+        return f"{host}{path}{_query(pick, _TRACKERS, pick.randint(0, 3))}"
+    if kind == 1:  # a bare address
+        host = ".".join(str(pick.randint(1, 254)) for _ in range(4)) + pick.choice(["", "", f":{pick.randint(1000, 9999)}"])
+        return f"{host}/{pick.choice([_noise(pick, 8), *_LURES])}{pick.choice(['.php', '.exe', '', '.zip', '/'])}{_query(pick, _TRACKERS, pick.randint(0, 3))}"
+    if kind == 2:  # gambling and the like
+        word = pick.choice(_VICES)
+        host = pick.choice([f"{pick.randint(1, 99)}{pick.choice('xk')}{word}{pick.choice(['', str(pick.randint(1, 99))])}", f"{word}{pick.choice(['365', '88', '777', '24', 'hub', 'live', 'vip'])}", f"{pick.choice(_TRADES)}-{word}", f"{word}-{name}", f"{name}{word}", f"x{word}{name[:4]}", f"{word}.{name}"])
+        return f"{host}.{end}/{pick.choice(['', 'promo', 'bonus', 'vip', 'join', f'{word}/{name}'])}{_query(pick, _TRACKERS, pick.randint(0, 2))}"
+    if kind == 3:  # letters by chance, many parameters
+        host = f"{_noise(pick, pick.randint(8, 20))}.{end}"
+        return f"{host}/{_noise(pick, pick.randint(6, 24))}{_query(pick, _TRACKERS, pick.randint(1, 6))}"
+    words = pick.sample(_SPAM, 2) + pick.sample(_TRADES, pick.randint(0, 2)) + pick.choice([["online"], ["now", "24"], [str(pick.randint(1, 999))], []])
+    pick.shuffle(words)
+    return f"{'-'.join(words)}.{end}/{pick.choice(['', '-'.join(words), 'order.php'])}{_query(pick, _TRACKERS, pick.randint(0, 3))}"
+
+
+def _good(pick: random.Random) -> str:
+    name, kind = _name(pick), pick.randint(0, 5)
+    slug = "-".join(pick.choice(_TOPICS + _PLAIN) for _ in range(pick.randint(2, 7)))
+    end = pick.choice(_ENDS)
+    tail = pick.choice(["", "", "", *(f"?{_query(pick, _COMMON, pick.randint(1, 2))[1:]}" for _ in range(2)), "#" + pick.choice(_TOPICS)])
+    number = pick.choice([str(pick.randint(1, 99999)), f"{pick.randint(1, 9999)}.{pick.randint(1, 99999)}", "s" + _noise(pick, 4, "0123456789") + "-" + _noise(pick, 3, "0123456789"), _noise(pick, 10, "ABCDEFGHIJ0123456789")])
+    own = pick.choice([name, name, f"{name}{pick.choice(_PLAIN)}", f"{pick.choice(_PLAIN)}{name}", f"{pick.choice(_PLAIN)}-{name}", pick.choice(_PLAIN) + pick.choice(_PLAIN), f"{pick.choice(_TRADES)}-{pick.choice(_PLAIN)}", f"{pick.choice(_TRADES)}{pick.choice(_PLAIN)}s"])
+    host = pick.choice(["", "", "www.", "m.", f"{pick.choice(_PLAIN)}."]) + own + "." + end
+    if kind == 0:
+        return f"{host}/{pick.randint(1998, 2030)}/{pick.randint(1, 12):02d}/{slug}{pick.choice(['', '/', '.html'])}{tail}"
+    if kind == 1:
+        return f"{host}/{pick.choice(_PLAIN)}/{pick.choice(_PLAIN)}/{pick.choice([name, number, slug])}{pick.choice(['', '.html', '.htm', '.pdf', '/'])}{tail}"
+    if kind == 2:
+        return f"{host}/{pick.choice(['product', 'item', 'shop', 'p'])}/{pick.choice([slug, number])}{tail}"
+    if kind == 3:
+        return f"{host}/{pick.choice(['viewtopic.php', 'thread.php', 'index.php'])}?{pick.choice(['t', 'id', 'topic'])}={pick.randint(1, 99999)}" if pick.random() < 0.4 else f"{host}/questions/{pick.randint(1, 99999)}/{slug}"
+    if kind == 4:
+        return f"{host}/{pick.choice(['', '', 'about', 'contact', 'account', 'support', 'login', 'index.html', 'wiki/' + name.title(), 'search?q=' + name])}"
+    return f"{host}/{'/'.join(pick.choice([name, pick.choice(_PLAIN), pick.choice(_TOPICS)]) for _ in range(pick.randint(0, 3)))}/{number}{pick.choice(['', '/', '.html'])}{tail}"
+
+
+def seed_urls(n: int = 12_000, seed: int = 7) -> list[tuple[str, int]]:
+    """Labelled URLs (1: block) made by rule: look-alikes, bare addresses, vices, chance letters and spam
+    against the usual addresses of news, institutions, shops, forums and homes."""
     pick = random.Random(seed)
-    parts = "an ber chan de el for gra hol in jo ka lin mor ne ol per qui ra sol the tion un ver wo ya zen th er on st".split()
     out = []
     for _ in range(n):
         block = pick.random() < 0.5
-        name = "".join(pick.choice(parts) for _ in range(pick.randint(1, 4)))
-        if block:
-            words = [pick.choice(ABUSE_WORDS), pick.choice([*ABUSE_WORDS, "x", "online", "365", str(pick.randint(1, 99)), name])]
-            pick.shuffle(words)
-            host = pick.choice(["-", "-", "", "."]).join(words)
-        else:
-            host = pick.choice([name, name, name, pick.choice(PLAIN_WORDS), f"{pick.choice(PLAIN_WORDS)}-{name}", f"{name}{pick.choice(PLAIN_WORDS)}"])
-        host = f"{pick.choice(['', '', 'www.', 'm.', 'blog.'])}{host}{pick.choice(['', '.example'])}.{pick.choice(_SUFFIXES)}"
-        path = "/" + pick.choice(["", f"{pick.choice(['en', 'fr', 'de', 'es'])}/{pick.randint(1, 999)}", f"{name}/{pick.choice(PLAIN_WORDS)}", f"{pick.randint(1990, 2030)}/{pick.randint(1, 12)}/{name}"])
-        path += pick.choice(["", "", "/", ".html", "?page=2&ref=x", "#top", "?utm_source=feed"])
-        out.append((f"{pick.choice(['http', 'https'])}://{host}{path}", int(block)))
+        url = (_bad if block else _good)(pick)
+        out.append((f"{pick.choice(['http', 'https'])}://{url}", int(block)))
     return out
 
 
@@ -85,9 +144,15 @@ def _suffixes(host: str, path: str) -> tuple[str, str]:
     return "host:" + host.rsplit(".", 1)[-1], "file:" + (end.rsplit(".", 1)[-1] if "." in end else "")
 
 
-def _parts(host: str) -> list[str]:
-    words = _WORDS.findall(host)
-    return [f"word:{w}" for w in words] + [f"gram:{w[i : i + GRAM]}" for w in words for i in range(len(w) - GRAM + 1)]
+def _parts(host: str, path: str = "", query: str = "") -> list[str]:
+    words = _WORDS.findall(host.rpartition(".")[0] or host)
+    parts = [f"word:{w}" for w in words] + [f"gram:{w[i : i + GRAM]}" for w in words for i in range(len(w) - GRAM + 1)]
+    return parts + [f"path:{w}" for w in _WORDS.findall(path.lower())] + [f"name:{x.partition('=')[0].lower()}" for x in query.split("&") if x]
+
+
+_ADDRESS = re.compile(r"[0-9.]+(:[0-9]+)?")
+_MIXED = re.compile(r"[a-z][0-9]|[0-9][a-z]")
+_HARD = re.compile("[bcdfghjklmnpqrstvwxz0-9]+")
 
 
 class UrlModel:
@@ -98,24 +163,28 @@ class UrlModel:
         y = np.array([r[1] for r in rows], float)
         self.base = float(y.mean()) if len(rows) else 0.0
         seen: dict[str, list[float]] = {}
-        for url, label in rows:
-            host, path, _ = split_url(url)
-            for k in {*_suffixes(host, path), *_parts(host)}:
+        # Rates come from one half of the rows and trees from the other, so that no row's own label is among its features.
+        half = [xxhash.xxh32_intdigest(r[0] or "") & 1 for r in rows]
+        for url, label in (r for r, h in zip(rows, half, strict=True) if h):
+            host, path, query = split_url(url)
+            for k in {*_suffixes(host, path), *_parts(host, path, query)}:
                 x = seen.setdefault(k, [0.0, 0.0])
                 x[0] += label
                 x[1] += 1
-        self.rates = {k: (a + 4 * self.base) / (n + 4) for k, (a, n) in seen.items() if n >= 3}
+        self.rates = {k: (a + 6 * self.base) / (n + 6) for k, (a, n) in seen.items() if n >= 3}
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.edges: list[np.ndarray] = []
         self.start = float(np.log((self.base + 1e-3) / (1 - self.base + 1e-3)))
-        if 0 < self.base < 1:
-            self._fit(np.array([self.features(r[0]) for r in rows]), y)
+        if 0 < self.base < 1 and not all(half):
+            other = ~np.array(half, bool)
+            self._fit(np.array([self.features(r[0]) for r, h in zip(rows, half, strict=True) if not h]).reshape(int(other.sum()), -1), y[other])
 
     def features(self, url: str | None) -> list[float]:
         host, path, query = split_url(url)
         whole, letters = url or "", sum(c.isalpha() for c in host)
-        known = _parts(host)
-        words, grams = ([self.rates.get(k, self.base) for k in known if k.startswith(kind)] for kind in ("word", "gram"))
+        known = _parts(host, path, query)
+        words, grams, names, keys = ([self.rates.get(k, self.base) for k in known if k.startswith(kind)] for kind in ("word", "gram", "path", "name"))
+        own = host.rpartition(".")[0] or host
         a, b = _suffixes(host, path)
         return [
             len(whole), len(host), len(path), path.count("/"), sum(c.isdigit() for c in whole) / max(1, len(whole)), _entropy(whole), _entropy(host),
@@ -123,6 +192,8 @@ class UrlModel:
             max((len(x) for x in host.split(".")), default=0), sum(c in "aeiou" for c in host) / max(1, letters),
             self.rates.get(a, self.base), self.rates.get(b, self.base), max(words, default=self.base), sum(words) / max(1, len(words)),
             max(grams, default=self.base), min(grams, default=self.base), sum(grams) / max(1, len(grams)),
+            max(names, default=self.base), min(names, default=self.base), max(keys, default=self.base), float(bool(_ADDRESS.fullmatch(host))),
+            len(_MIXED.findall(own)), max((len(x) for x in _HARD.findall(own)), default=0), sum(c.isdigit() for c in path) / max(1, len(path)),
         ]
 
     def _bins(self, x: np.ndarray) -> np.ndarray:
@@ -196,7 +267,7 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], model: UrlModel, threshold: float = 0.5, key: str = "page_id") -> DataFrame:
-    """key, url, host, path, rule, verdict and score of every row of pages(key, url)."""
+    """key, host, path, rule, verdict, url and score of every row of pages(key, url)."""
     host, path = parts(F.col("url"))
     rows = pages.select(key, "url", F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
@@ -209,4 +280,4 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], model: UrlModel, thres
 
     scored = rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("score", DoubleType())]))
     method = F.when(F.col("score") >= threshold, "block").otherwise("allow")
-    return scored.select(key, "url", "host", "path", "rule", F.coalesce("said", method).alias("verdict"), "score")
+    return scored.select(key, "host", "path", "rule", F.coalesce("said", method).alias("verdict"), "url", "score")

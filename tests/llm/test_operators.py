@@ -187,25 +187,6 @@ def test_repeats_inside_articles(spark):
     assert {r["text"] for r in html.extract(df).collect()} == {f"Same\n\nSame paragraph\n\nown {i}" for i in range(10)}
 
 
-def test_urls(spark):
-    rules = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
-    given = ["http://WWW.Example.ORG/es/1?q", "https://a.example.org/en/19", "http://notexample.org/es/", "http://x.com/fr", "http://x.com/fr/", "nothing", None, "http://x.org", "http://casino-win.example.net/en/1", "https://blog.ththat.example.net/en/77"]
-    df = spark.createDataFrame(list(enumerate(given)), "page_id long, url string").withColumn("rule", F.lit("clash"))
-    model = urls.UrlModel(urls.seed_urls())
-    got = {r["page_id"]: r for r in urls.judge(df, rules, model).collect()}
-    assert [got[i]["rule"] for i in range(8)] == ["example.org/es/", "example.org/en/1", "org/", None, "com/fr/", None, None, None]
-    assert (got[0]["host"], got[0]["path"], got[0]["verdict"]) == ("www.example.org", "/es/1", "block")
-    assert (got[5]["host"], got[5]["path"]) == ("", "") and got[6]["verdict"] in ("allow", "block")
-    assert (got[8]["verdict"], got[9]["verdict"]) == ("block", "allow")
-
-
-def test_url_model_on_held_out_labels():
-    train, test = urls.seed_urls(3000, 1), urls.seed_urls(1000, 2)
-    score = urls.UrlModel(train).score([u for u, _ in test])
-    assert sum((s >= 0.5) == bool(y) for s, (_, y) in zip(score, test, strict=True)) > 930
-    assert urls.UrlModel([]).score(["http://a"]).shape == (1,)
-
-
 def test_leaks(spark):
     pick = random.Random(9)
     make = lambda n: " ".join(f"{pick.choice('bcdfg')}{pick.choice('aeiou')}{pick.randint(0, 3000)}" for _ in range(n))
