@@ -6,10 +6,11 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.llm import _store, fingerprint, html, langid, leaks, mixing, neardup, ngram, sharding, substring, urls
+from cadenza.llm import _store, fingerprint, html, langid, leaks, mixing, neardup, ngram, sharding, substring
 from tests.conftest import DATA, rows
 
 DOC = "doc_id long, text string, lang string, source string"
@@ -211,6 +212,15 @@ def test_leaks_without_a_key(spark):
     assert got == {(None, 1): 1, (None, 2): 1, (3, 1): 2}
 
 
+def against_all_pairs(spark, items, texts, **kw):
+    """What the operator finds, and what holding every item against every run of every text finds."""
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = rows(leaks.find_leaks(docs(spark, [" ".join(t) for t in texts]), bench, **kw), "doc_id", "item_id")
+    number = {w: k for k, w in enumerate(sorted({w for t in items for w in t}))}
+    want = [(d, i) for d, t in enumerate(texts) for i, a in enumerate(items) if leaks.is_leak(*leaks.best_run([number[w] for w in a], [number.get(w, -1) for w in t]))]
+    return got, want
+
+
 def test_long_leaks_against_all_pairs(spark):
     pick = random.Random(5)
     make = lambda n: [f"w{int(9000 ** pick.random())}" if pick.random() < 0.4 else f"v{pick.randint(0, 9000)}" for _ in range(n)]
@@ -219,13 +229,56 @@ def test_long_leaks_against_all_pairs(spark):
     for i, item in enumerate(items):
         copy = item if i < 6 else [w if pick.random() < 0.68 else make(1)[0] for w in item]
         texts[5 * i] = make(pick.randint(0, 60)) + copy + make(pick.randint(0, 60))
-    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
-    got = rows(leaks.find_leaks(docs(spark, [" ".join(t) for t in texts]), bench), "doc_id", "item_id")
-    want = [(d, i) for d, t in enumerate(texts) for i, a in enumerate(items) if leaks.common_subsequence(a, t) >= leaks.FULL * len(a)]
+    got, want = against_all_pairs(spark, items, texts)
     assert {(5 * i, i) for i in range(6)} <= set(want) and len(want) >= 16
     assert got == want
 
 
+@pytest.mark.parametrize("rare, share", [(True, 1 / 3), (False, 0.2), (False, 0.3), (False, 0.4)])
+def test_paraphrases_against_all_pairs(spark, rare, share):
+    """Items of common and rare words with the rare ones, or any, replaced: nine of ten are found, and nothing else."""
+    pick = random.Random(6)
+    word = lambda: f"w{int(3000 ** pick.random())}"
+    items, texts = [], [[word() for _ in range(300)] for _ in range(200)]
+    for k in range(20):
+        places = set(pick.sample(range(30), 10))
+        items.append([f"r{k}x{j}" if j in places else word() for j in range(30)])
+        gone = places if rare else set(pick.sample(range(30), round(30 * share)))
+        texts[7 * k][50:80] = [f"n{pick.randint(0, 10**6)}" if j in gone else w for j, w in enumerate(items[k])]
+    got, want = against_all_pairs(spark, items, texts)
+    assert len(want) >= 18 and set(got) <= set(want) and len(got) >= 0.9 * len(want)
+    assert len(against_all_pairs(spark, items, texts, near=0.95)[0]) < len(got)
+
+
+def test_leaks_in_slices_and_by_shuffle(spark, monkeypatch):
+    pick = random.Random(3)
+    items = [[f"a{pick.randint(0, 5000)}" for _ in range(25)] for _ in range(9)]
+    texts = [[f"b{pick.randint(0, 5000)}" for _ in range(40)] + pick.choice(items) for _ in range(30)]
+    want = against_all_pairs(spark, items, texts)
+    assert want[0] == want[1]
+    monkeypatch.setattr(leaks, "MOST_TERMS", 60)
+    monkeypatch.setattr(leaks, "MOST_BROADCAST", 0)
+    assert against_all_pairs(spark, items, texts)[0] == want[0]
+
+
+def test_odd_items(spark):
+    df = spark.createDataFrame([(1, "solo"), (2, "solo act"), (3, "x " * 300_000 + " ".join(f"w{i}" for i in range(20))), (4, None), (5, "")], "doc_id long, text string").selectExpr("*", "1 AS row", "'q' AS item_id", "2 AS place")
+    bench = spark.createDataFrame([(1, "solo"), (2, " ".join(f"W{i}," for i in range(20))), (2, " ".join(f"w{i}" for i in range(20))), (None, "solo act"), (4, None), (5, " ")], "item_id long, text string").selectExpr("*", "1 AS doc_id")
+    got = sorted((r["doc_id"], r["item_id"]) for r in leaks.find_leaks(df, bench).collect())
+    assert got == [(1, 1), (3, 2), (3, 2)]
+
+
+def test_known_pairs_by_hand():
+    h = np.array([5, 6, 5, 6, 9], np.uint64)
+    got = leaks.pairs(h, np.array([0, 4, 4, 5]))
+    assert got[0] == got[2] != got[1] and got[3] == 0 and got[4] != 0
+    passage, term, times, text, first = leaks.cells(np.array([0, 15, 16, 33, 40]), np.array([3, 3, 1, 3, 3]), np.array([0, 0, 0, 0, 1]), np.array([50, 45]))
+    held = {(int(text[p]), int(first[p])): {} for p in passage}
+    for p, t, n in zip(passage.tolist(), term.tolist(), times.tolist(), strict=True):
+        held[int(text[p]), int(first[p])][t] = n
+    assert held == {(0, 0): {3: 2, 1: 1}, (0, 16): {1: 1, 3: 1}, (0, 32): {3: 1}, (1, 16): {3: 1}}
+
+
 def test_placement(spark):
     table = sharding.fill([f"shard-{i:05d}" for i in range(64)])
     for r in sharding.place(docs(spark, ["a"] * 50, slot="clash")).collect():
