@@ -11,9 +11,8 @@ from cadenza.llm._eliasfano import EliasFano
 from cadenza.llm._store import block_count
 from cadenza.llm.fingerprint import _of, likeness
 from cadenza.llm.leaks import common_subsequence
-from cadenza.llm.mixing import rake, rate_for
 from cadenza.llm.neardup import likeliest, shingle_sets, sketches
-from cadenza.llm.ngram import LEVELS, Trie
+from cadenza.llm.ngram import LEVELS, Trie, _located
 from cadenza.llm.sharding import fill
 from cadenza.llm.substring import repeated_windows
 from cadenza.llm.suffix import common_prefixes, suffix_array
@@ -67,29 +66,36 @@ def test_elias_fano(values, asked):
     assert e.successor(np.array(asked, np.uint64)).tolist() == np.searchsorted(v, np.array(asked, np.uint64)).tolist()
 
 
+def trie_of(path, names, counts, context, name, times):
+    """A trie of words and pairs, without triples."""
+    none = np.zeros(0, np.int64)
+    Trie.write(str(path / "t"), np.array(names, np.uint64), np.array(counts), (np.array(context), np.array(name, np.uint64), np.array(times)), (none, none.view(np.uint64), none), 0.75)
+    return Trie(str(path / "t"))
+
+
+def codes(trie, context, name):
+    return trie.second.codes(_located(trie.second, np.array(context), np.ones(len(context), np.int64), np.array(name, np.uint64)))
+
+
 def test_trie_answers_from_its_file(tmp_path):
-    names = np.array([5, 70, 900], np.uint64)
-    Trie.write(str(tmp_path / "t"), names, np.array([3, 0, 2]), np.array([0, 0, 2]), np.array([7, 9, 7], np.uint64), np.array([2, 1, 2]), 0.75)
-    trie = Trie(str(tmp_path / "t"))
+    trie = trie_of(tmp_path, [5, 70, 900], [3, 0, 2], [0, 0, 2], [7, 9, 7], [2, 1, 2])
     assert (trie.total, trie.distinct) == (5, 2)
     at, found = trie.find(np.array([70, 71, 900], np.uint64))
     assert found.tolist() == [True, False, True] and at[2] == 2
-    assert (trie.chance(np.array([0, 0, 1, 2]), np.array([7, 8, 7, 7], np.uint64)) > 0).tolist() == [True, False, False, True]
+    assert (codes(trie, [0, 0, 1, 2, -1], [7, 8, 7, 7, 7]) > 0).tolist() == [True, False, False, True, False]
 
 
 def test_trie_keeps_large_counts(tmp_path):
     counts = np.array([2**32 + 5, 0, 2**40])
-    Trie.write(str(tmp_path / "t"), np.array([5, 70, 900], np.uint64), counts, np.array([0]), np.array([7], np.uint64), np.array([2**32 + 5]), 0.75)
-    trie = Trie(str(tmp_path / "t"))
+    trie = trie_of(tmp_path, [5, 70, 900], counts, [0], [7], [2**32 + 5])
     assert trie.counts.tolist() == counts.tolist() and (trie.total, trie.distinct) == (counts.sum(), 2)
 
 
 @pytest.mark.parametrize("many", [10, 4 * 10**8, 10**13])
 def test_trie_chances_after_frequent_contexts(tmp_path, many):
     times = np.array([many, 1, 2])
-    Trie.write(str(tmp_path / "t"), np.array([5, 70], np.uint64), np.array([many + 3, 0]), np.zeros(3, np.int64), np.array([7, 8, 9], np.uint64), times, 0.75)
-    trie = Trie(str(tmp_path / "t"))
-    got = LEVELS[trie.chance(np.zeros(3, np.int64), np.array([7, 8, 9], np.uint64))]
+    trie = trie_of(tmp_path, [5, 70], [many + 3, 0], np.zeros(3, np.int64), [7, 8, 9], times)
+    got = LEVELS[codes(trie, [0, 0, 0], [7, 8, 9])]
     assert got == pytest.approx((times - 0.75) / times.sum(), rel=5e-4, abs=0)
     assert LEVELS[trie.weights[0]] == pytest.approx(0.75 * 3 / times.sum(), rel=5e-4, abs=0)
     assert got.sum() + LEVELS[trie.weights[0]] == pytest.approx(1, abs=5e-4)
@@ -131,19 +137,6 @@ def test_common_subsequence(a, b):
     assert common_subsequence(a, b) == best[-1][-1]
 
 
-def test_raking_meets_marginals_and_budget():
-    rng = np.random.default_rng(2)
-    labels = [np.repeat(np.arange(4), 6), np.tile(np.arange(6), 4)]
-    tokens = rng.integers(1, 100, 24).astype(float)
-    wants = [np.array([0.4, 0.3, 0.2, 0.1]), np.full(6, 1 / 6)]
-    w = rake(labels, tokens, wants, 60)
-    for own, want in zip(labels, wants, strict=True):
-        assert np.bincount(own, w) / tokens.sum() == pytest.approx(want, abs=1e-9)
-    ratio = w / tokens
-    r = rate_for(tokens, ratio, 0.5 * tokens.sum())
-    assert (tokens * np.minimum(1, r * ratio)).sum() == pytest.approx(0.5 * tokens.sum())
-
-
 def test_cells_stay_in_proportion():
     assert block_count(0, 6_000_000) == 1 and block_count(800_000_000, 6_000_000) == 134
     for size in (10**9, 10**12, 10**14):

@@ -96,31 +96,75 @@ def test_links_are_followed(spark):
     assert all(got[i] == 1 for i in range(1, 41)) and got[100] == 90 and got[7000] == 7000
 
 
+def scores_by_hand(tokens, train):
+    """log10 of the unigrams and of the model for each list of tokens, from the counts of those to train on."""
+    grams = [Counter(), Counter(), Counter()]
+    for t in (t for t, use in zip(tokens, train, strict=True) if use):
+        padded = ["<s>", *t]
+        grams[0].update(t)
+        grams[1].update(zip(padded, t, strict=False))
+        grams[2].update(zip(padded, t, t[1:], strict=False))
+    n, v = sum(grams[0].values()), len(grams[0])
+    kinds, total = Counter(), Counter()
+    for level in grams[1:]:
+        for g, c in level.items():
+            kinds[g[:-1]] += 1
+            total[g[:-1]] += c
+    out = []
+    for t in tokens:
+        base = score = 0.0
+        for i, w in enumerate(t):
+            p = (grams[0][w] + 1) / (n + v + 1)
+            base += math.log10(p)
+            padded = ["<s>", *t]
+            for size in (1, 2) if i else (1,):
+                c = tuple(padded[i + 1 - size : i + 1])
+                if total[c]:
+                    p = max(grams[size][(*c, w)] - 0.75, 0) / total[c] + 0.75 * kinds[c] / total[c] * p
+            score += math.log10(p)
+        out.append((base, score, sum(grams[0][w] > 0 for w in t), n))
+    return out
+
+
 def test_scores_by_hand(spark, monkeypatch):
     monkeypatch.setattr(_store, "CELL_BYTES", 0)
-    texts = ["a b a b", "a b c", "b a", None, "q a", "A B\tC", ""]
-    held = F.col("doc_id") >= 4
-    got = {r["doc_id"]: r for r in ngram.score(docs(spark, texts), held, block_bytes=8).collect()}
+    pick = random.Random(4)
+    texts = ["a b a b", "a b c", "b a", None, "q a", "A B\tC", "", *(" ".join(f"w{int(30 ** pick.random())}" for _ in range(pick.randint(1, 60))) for _ in range(60))]
     tok = [(t or "").lower().split() + ["</s>"] for t in texts]
-    uni, pair = Counter(), Counter()
-    for t in tok[:4]:
-        uni.update(t)
-        pair.update(zip(["<s>", *t[:-1]], t, strict=True))
-    n, v = sum(uni.values()), len(uni)
-    kinds, total = Counter(a for a, _ in pair), Counter()
-    for (a, _), c in pair.items():
-        total[a] += c
-    for i, t in enumerate(tok):
-        p = {w: (uni[w] + 1) / (n + v + 1) for w in t}
-        score = 0.0
-        for a, w in zip(["<s>", *t[:-1]], t, strict=True):
-            score += math.log10(max(pair[a, w] - 0.75, 0) / total[a] + 0.75 * kinds[a] / total[a] * p[w] if total[a] else p[w])
-        assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"], got[i]["held_out"]) == (len(t), sum(uni[w] > 0 for w in t), n, i >= 4)
-        assert got[i]["base_score"] == pytest.approx(sum(math.log10(p[w]) for w in t))
-        assert got[i]["score"] == pytest.approx(score, abs=0.03 * len(t))
+    want = scores_by_hand(tok, [i % 3 != 2 for i in range(len(texts))])
+    for size in (8, 400, 10**6):
+        got = {r["doc_id"]: r for r in ngram.score(docs(spark, texts), F.col("doc_id") % 3 == 2, block_bytes=size).collect()}
+        for i, (base, score, known, n) in enumerate(want):
+            assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"], got[i]["held_out"]) == (len(tok[i]), known, n, i % 3 == 2)
+            assert got[i]["base_score"] == pytest.approx(base)
+            assert got[i]["score"] == pytest.approx(score, abs=0.001 * len(tok[i]))
     assert ngram.score(docs(spark, ["a"]), F.lit(True)).first()["base_score"] == 0
 
 
+def test_trie_levels(tmp_path):
+    """Every n-gram is found inside its context's range and nowhere else; counts pass 2**32."""
+    pick = np.random.default_rng(2)
+    names = np.sort(pick.choice(2**62, 50, replace=False).astype(np.uint64))
+    counts = pick.integers(0, 9, 50)
+    counts[7] = 5 * 2**32
+    pair_key = np.unique((pick.integers(0, 50, 400).astype(np.uint64) << np.uint64(40)) | pick.integers(0, 300, 400).astype(np.uint64))
+    triple_key = np.unique((pick.integers(0, len(pair_key), 900).astype(np.uint64) << np.uint64(32)) | pick.integers(0, 40, 900).astype(np.uint64))
+    times = lambda n: pick.integers(1, 9, n)
+    pairs, triples = ((*ngram._split(k, b), times(len(k))) for k, b in ((pair_key, 40), (triple_key, 32)))
+    pairs[2][3] = 3 * 10**10
+    ngram.Trie.write(str(tmp_path / "t"), names, counts, pairs, triples)
+    trie = ngram.Trie(str(tmp_path / "t"))
+    assert (trie.total, int(trie.counts[7])) == (int(counts.sum()), 5 * 2**32)
+    for level, (context, name, n), contexts, most in ((trie.second, pairs, 50, 302), (trie.third, triples, len(pair_key), 42)):
+        held = {k: i for i, k in enumerate(zip(context.tolist(), name.tolist(), strict=True))}
+        total = np.bincount(context, n, contexts)
+        c, f = (x.reshape(-1) for x in np.meshgrid(np.arange(contexts), np.arange(most), indexing="ij"))
+        got = level.find(*level.ranges(c), f.astype(np.uint64))
+        assert got.tolist() == [held.get(k, -1) for k in zip(c.tolist(), f.tolist(), strict=True)]
+        chance = ngram.LEVELS[level.codes(np.arange(len(n)))]
+        assert np.allclose(chance, (n - 0.75) / total[context], rtol=1e-3)
+
+
 def brute_removed(texts, length):
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     seen = Counter(r[i : i + length] for r in raw for i in range(len(r) - length + 1))
