@@ -72,6 +72,15 @@ def unpack(blob: bytes, *kinds: type) -> list[np.ndarray]:
     return out
 
 
+def squeeze(blob: bytes) -> bytes:
+    """A blob in fewer bytes: counts and codes are mostly alike, which the shuffle's own compression makes little of."""
+    return len(blob).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(blob, asbytes=True)
+
+
+def opened(blob: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), asbytes=True)
+
+
 class Level:
     """Successors of contexts: pointers to their ranges, and names relative to the last value before them."""
 
@@ -235,7 +244,7 @@ def _requests(shards: int):
         kinds_after = np.bincount(block.triples >> 32, minlength=len(block.pairs)).astype(np.uint32)
         for s in range(shards):
             w, p, t = slice(at[s], at[s + 1]), slice(pairs[s], pairs[s + 1]), slice(triples[s], triples[s + 1])
-            blobs.append(pack(block.words[w], block.word_times[w], kinds[w], np.ascontiguousarray(five[p]), *_few(block.pair_times[p]), kinds_after[p], short[t], *_few(block.triple_times[t])))
+            blobs.append(squeeze(pack(block.words[w], block.word_times[w], kinds[w], np.ascontiguousarray(five[p]), *_few(block.pair_times[p]), kinds_after[p], short[t], *_few(block.triple_times[t]))))
         return pa.table({"shard": pa.array(np.arange(shards), pa.int32()), "block": pa.array([key[0].as_py()] * shards, pa.int32()), "cell": pa.array(blobs, pa.binary())})
 
     return run
@@ -260,7 +269,7 @@ def _answers(discount: float):
         asked = []
         for blob in table.column("cell").to_pylist():
             name, times, kinds, five, few, large, more, kinds_after, short, few_after, large_after, more_after = unpack(
-                blob, U64, np.uint32, np.uint32, np.uint8, np.uint8, np.uint32, np.uint32, np.uint32, np.uint32, np.uint8, np.uint32, np.uint32
+                opened(blob), U64, np.uint32, np.uint32, np.uint8, np.uint8, np.uint32, np.uint32, np.uint32, np.uint32, np.uint8, np.uint32, np.uint32
             )
             wide = np.zeros((len(few), 8), np.uint8)
             wide[:, :5] = five.reshape(-1, 5)
@@ -286,7 +295,7 @@ def _answers(discount: float):
                 where = _located(trie.second, at, kinds, follower)
                 after = _located(trie.third, where, kinds_after, short)
                 weights = np.where(where >= 0, trie.pair_weights[np.maximum(where, 0)] if trie.pairs else 1, 1).astype(np.uint16)
-                replies.append(pack(np.array([trie.total, trie.distinct], np.int64), trie.counts[at], trie.weights[at], trie.second.codes(where), weights, trie.third.codes(after)))
+                replies.append(squeeze(pack(np.array([trie.total, trie.distinct], np.int64), trie.counts[at], trie.weights[at], trie.second.codes(where), weights, trie.third.codes(after))))
             del trie
         return pa.table({"block": table.column("block"), "shard": table.column("shard"), "answer": pa.array(replies, pa.binary())})
 
@@ -308,7 +317,7 @@ def _located(level: Level, context: np.ndarray, kinds: np.ndarray, name: np.ndar
 
 def _scores(key: tuple[pa.Scalar, ...], docs: pa.Table, answers: pa.Table) -> pa.Table:
     block = Block(docs, np.zeros(len(docs), bool))
-    parts = [unpack(x["answer"], np.int64, U64, *[np.uint16] * 4) for x in sorted(answers.to_pylist(), key=lambda x: x["shard"])]
+    parts = [unpack(opened(x["answer"]), np.int64, U64, *[np.uint16] * 4) for x in sorted(answers.to_pylist(), key=lambda x: x["shard"])]
     total, distinct = sum(int(x[0][0]) for x in parts), sum(int(x[0][1]) for x in parts)
     count, weight, chance, pair_weight, triple_chance = (np.concatenate([x[k] for x in parts]) for k in range(1, 6))
     if len(count) != len(block.words) or len(chance) != len(block.pairs) or len(triple_chance) != len(block.triples):
