@@ -8,6 +8,7 @@ chunk_ms or bucket_ms says so.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -131,15 +132,15 @@ def interval_join(left: DataFrame, right: DataFrame, by: Sequence[str] = BY, buc
         first, final = F.floor(F.col(start) / bucket_ms), F.floor(last / bucket_ms)
         return df.withColumn(name, first).withColumn("_bucket", F.explode(F.sequence(first, F.greatest(first, final))))
 
-    keyed = left.withColumn("_row", F.monotonically_increasing_id()) if how == "left" else left
-    a, b = dealt(keyed, "start_ms", "end_ms", "_lb"), dealt(right, "r_start_ms", "r_end_ms", "_rb")
+    a, b = dealt(left, "start_ms", "end_ms", "_lb"), dealt(right, "r_start_ms", "r_end_ms", "_rb")
     meet = (F.col("r_end_ms") >= F.col("start_ms")) & (F.col("r_start_ms") <= F.col("end_ms")) if touching else (F.col("r_end_ms") > F.col("start_ms")) & (F.col("r_start_ms") < F.col("end_ms"))
+    pairs = a.join(b, [*by, "_bucket"]).where(meet & (F.col("_bucket") == F.greatest("_lb", "_rb"))).drop("_bucket", "_lb", "_rb")
     if how == "left":
-        # A span without a partner is told by its first bucket: every pair of a span is kept in one bucket of it.
-        pairs = a.join(b, [*by, "_bucket"]).where(meet & (F.col("_bucket") == F.greatest("_lb", "_rb"))).drop("_bucket", "_lb", "_rb")
-        alone = left.join(pairs.select(*left.columns).distinct(), list(left.columns), "left_anti")
-        return pairs.drop("_row").unionByName(alone, allowMissingColumns=True)
-    return a.join(b, [*by, "_bucket"]).where(meet & (F.col("_bucket") == F.greatest("_lb", "_rb"))).drop("_bucket", "_lb", "_rb")
+        # Equal rows meet the same partners, so a row without any is one that equals no row of a pair, nulls included.
+        met = pairs.select(*(F.col(c).alias(f"_met_{c}") for c in left.columns)).distinct()
+        same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_met_{c}")) for c in left.columns))
+        return pairs.unionByName(left.join(met, same, "left_anti"), allowMissingColumns=True)
+    return pairs
 
 
 def points_in(points: DataFrame, spans: DataFrame, at: str, by: Sequence[str] = BY, bucket_ms: int = 60_000, closed: bool = False) -> DataFrame:
@@ -345,7 +346,7 @@ def silence_cuts(silences: DataFrame, min_ms: int = 800) -> DataFrame:
 
 
 def fragments(cuts: DataFrame, words: DataFrame, max_ms: int = 300, by: Sequence[str] = BY, bucket_ms: int = 60_000) -> DataFrame:
-    """Remainders between neighbouring cuts that are too short to keep, with how many words they strand."""
+    """Remainders between neighbouring (merged) cuts that are too short to keep, with how many words they strand."""
     before = F.lag("end_ms").over(_window(by, "start_ms", "end_ms"))
     gaps = cuts.withColumn("_prev", before).where((F.col("start_ms") > F.col("_prev")) & (F.col("start_ms") - F.col("_prev") < max_ms))
     gaps = gaps.select(*by, F.col("_prev").alias("start_ms"), F.col("start_ms").alias("end_ms"))

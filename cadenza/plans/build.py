@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.jsonpath import UsageError
@@ -37,19 +37,25 @@ def build_edit(silences: DataFrame, words: DataFrame, proposals: DataFrame, leng
 
 
 def plan_auto_cuts(silences: DataFrame, nonspeech: DataFrame, repetitions: DataFrame, words: DataFrame, lengths: DataFrame, budget: float = 0.5, bucket_ms: int = 60_000) -> DataFrame:
-    """All instruments' cuts of sources whose cuts stay within the budget, merged with their evidence.
+    """The instruments' cuts, merged with their evidence, of sources whose cuts stay within the budget.
 
+    Cuts are merged, what they leave too short to keep is cut as well, all is merged again, and ends are drawn back
+    to words. Only then is the budget held against what would go; a source without a length stands.
     repetitions: source_id, pos, start_ms, end_ms."""
     columns = ["source_id", "pos", "start_ms", "end_ms", "instrument", "measurement"]
-    quiet = iv.silence_cuts(silences.select("source_id", "pos", "start_ms", "end_ms")).withColumn("instrument", F.lit("silence")).select(*columns)
-    breath = iv.nonspeech_cuts(nonspeech, silences, bucket_ms=bucket_ms).withColumn("instrument", F.lit("non-speech")).withColumn("measurement", F.format_string("%d ms without speech", F.col("end_ms") - F.col("start_ms"))).select(*columns)
-    said = repetitions.withColumn("instrument", F.lit("repetition")).withColumn("measurement", F.lit("said twice")).select(*columns)
-    three = quiet.unionByName(breath).unionByName(said)
-    left = iv.fragments(three, words, bucket_ms=bucket_ms).withColumn("pos", F.lit(0).cast("long")).withColumn("instrument", F.lit("fragment")).withColumn("measurement", F.format_string("%d words stranded", "stranded")).select(*columns)
-    every = three.unionByName(left)
-    over = series.stand_down(every, lengths, budget=budget).where("stood_down").select("source_id")
-    kept = every.join(over, "source_id", "left_anti").withColumn("reason", F.concat_ws(": ", "instrument", "measurement"))
-    return iv.merge_auto_cuts(kept)
+    # Of cuts with one start the instruments' order decides which is first.
+    place = lambda k: F.lit(k << 40) + F.col("pos")
+    breath = iv.nonspeech_cuts(nonspeech, silences, bucket_ms=bucket_ms).withColumn("pos", place(0)).withColumn("instrument", F.lit("nonspeech")).withColumn("measurement", F.format_string("%d ms without speech", F.col("end_ms") - F.col("start_ms"))).select(*columns)
+    quiet = iv.silence_cuts(silences.select("source_id", "pos", "start_ms", "end_ms")).withColumn("pos", place(1)).withColumn("instrument", F.lit("silence")).select(*columns)
+    said = repetitions.withColumn("pos", place(2)).withColumn("instrument", F.lit("repetition")).withColumn("measurement", F.lit("said twice")).select(*columns)
+    reason = F.concat_ws(": ", "instrument", "measurement")
+    before = iv.merge_auto_cuts(breath.unionByName(quiet).unionByName(said).withColumn("reason", reason)).withColumn("pos", F.lit(0).cast("long"))
+    left = iv.fragments(before, words, bucket_ms=bucket_ms).withColumn("pos", F.lit(0).cast("long")).withColumn("instrument", F.lit("fragment")).withColumn("measurement", F.format_string("%d words stranded", "stranded")).withColumn("reason", reason)
+    merged = iv.merge_auto_cuts(before.unionByName(left.select(*before.columns)))
+    numbered = merged.withColumn("pos", F.row_number().over(Window.partitionBy("source_id").orderBy("start_ms")).cast("long"))
+    proposed = iv.snap_to_words(numbered, words, silences, bucket_ms=bucket_ms).where("end_ms > start_ms")
+    over = series.stand_down(proposed, lengths.where("duration_ms > 0"), budget=budget).where("stood_down").select("source_id")
+    return proposed.join(over, "source_id", "left_anti").select(*merged.columns)
 
 
 def next_step(rounds: DataFrame) -> DataFrame:

@@ -60,11 +60,11 @@ def _paired(s: SparkSession, d: str) -> DataFrame:
     return turns(s, d).withColumn("said", F.coalesce(F.lag("text").over(Window.partitionBy("source_id").orderBy("pos", "role")), F.lit("")))
 
 
-@_add("normalisers", rf"SELECT doc_id, md5({n1('t')}) AS plain, md5({n2('t')}) AS folded, md5(regexp_replace(lower(strip_accents(t)), '[^\p{{L}}\p{{N}}]', '', 'g')) AS token, regexp_replace(regexp_replace(lower(strip_accents(left(t, 60))), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM (SELECT doc_id, text AS t FROM documents)")
+@_add("normalisers", rf"SELECT doc_id, md5({n1('t')}) AS plain, md5({n2('t')}) AS folded, md5(regexp_replace(lower(strip_accents(t)), '[^\p{{L}}\p{{N}}]', '', 'g')) AS token, regexp_replace(regexp_replace(lower(strip_accents(t)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM (SELECT doc_id, text AS t FROM documents)")
 def normalisers(s: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
     digest = lambda x: F.md5(x.cast("binary"))
-    return table(s, d, "documents").select("doc_id", digest(tx.normalise(t)).alias("plain"), digest(tx.normalise_folded(t)).alias("folded"), digest(tx.token(t)).alias("token"), tx.slug(F.substring("text", 1, 60)).alias("slug"))
+    return table(s, d, "documents").select("doc_id", digest(tx.normalise(t)).alias("plain"), digest(tx.normalise_folded(t)).alias("folded"), digest(tx.token(t)).alias("token"), tx.slug(t).alias("slug"))
 
 
 @_add("fold_full", "SELECT doc_id, md5(strip_accents(text)) AS folded FROM documents")
@@ -148,17 +148,17 @@ def views_disagree(s: SparkSession, d: str) -> DataFrame:
     return _paired(s, d).select("source_id", "pos", "role", tx.views_disagree(F.col("text"), F.col("said"), F.col("pos") % 5 == 0).alias("view"))
 
 
-HAS = f"has AS (SELECT *, CASE WHEN len(wanted) > 0 THEN len(list_filter(wanted, lambda w: list_contains(heard, w))) / len(wanted) >= 0.6 ELSE false END AS found FROM (SELECT *, {words_of(n1('text'))} AS heard, CASE WHEN len(list_filter(every, lambda w: length(w) >= 4)) > 0 THEN list_filter(every, lambda w: length(w) >= 4) ELSE every END AS wanted FROM (SELECT *, {words_of(n1('left(said, 40)'))} AS every FROM paired)))"
+HAS = f"has AS (SELECT *, CASE WHEN len(wanted) > 0 THEN len(list_filter(wanted, lambda w: list_contains(heard, w))) / len(wanted) >= 0.6 ELSE false END AS found FROM (SELECT *, {words_of(n1('text'))} AS heard, CASE WHEN len(list_filter(every, lambda w: length(w) >= 4)) > 0 THEN list_filter(every, lambda w: length(w) >= 4) ELSE every END AS wanted FROM (SELECT *, {words_of(n1('said'))} AS every FROM paired)))"
 
 
 @_add("contains_phrase", "SELECT source_id, pos, role, found FROM has", TURNS, PAIRED, HAS)
 def contains_phrase(s: SparkSession, d: str) -> DataFrame:
-    return _paired(s, d).select("source_id", "pos", "role", tx.contains_phrase(F.col("text"), F.substring("said", 1, 40)).alias("found"))
+    return _paired(s, d).select("source_id", "pos", "role", tx.contains_phrase(F.col("text"), F.col("said")).alias("found"))
 
 
 @_add("converge", "SELECT source_id, min(start_ms) FILTER (NOT found) AS first_clear_ms, max(start_ms) FILTER (found) AS last_with_ms FROM has GROUP BY source_id", TURNS, PAIRED, HAS)
 def converge(s: SparkSession, d: str) -> DataFrame:
-    return phrases.first_clear(_paired(s, d).withColumn("at_ms", F.col("start_ms")), F.substring("said", 1, 40))
+    return phrases.first_clear(_paired(s, d).withColumn("at_ms", F.col("start_ms")), F.col("said"))
 
 
 @_add("leak_reading", f"SELECT source_id, pos, role, CASE WHEN len(a) = 0 THEN 'check-by-ear' WHEN len(list_filter(a, lambda w: list_contains(b, w))) / len(a) >= 0.5 THEN 'removed-text-leaked' ELSE 'lands' END AS reading FROM (SELECT *, {carry('text')} AS a, {carry('said')} AS b FROM paired)", TURNS, PAIRED)

@@ -268,10 +268,10 @@ def carry_forward(s: SparkSession, d: str) -> DataFrame:
     return timeline.carry_forward(_points(s, d).withColumn("width_ms", F.lit(1000)), timeline.placements(before), places, swept, bucket_ms=SEG_BUCKET)
 
 
-@_add("finding_diff", "SELECT coalesce(a.source_id, b.source_id) AS source_id, coalesce(a.start_ms, b.start_ms) AS start_ms, coalesce(a.end_ms, b.end_ms) AS end_ms, coalesce(a.text, b.text) AS text, CASE WHEN a.source_id IS NOT NULL AND b.source_id IS NOT NULL THEN 'standing' WHEN a.source_id IS NOT NULL THEN 'addressed' ELSE 'new' END AS status FROM (SELECT * FROM words WHERE pos % 3 <> 0) a FULL JOIN (SELECT * FROM words WHERE pos % 4 <> 0) b ON a.source_id = b.source_id AND a.start_ms = b.start_ms AND a.end_ms = b.end_ms AND a.text = b.text", EVENTS_SQL)
+@_add("finding_diff", "SELECT coalesce(a.source_id, b.source_id) AS source_id, coalesce(a.start_ms, b.start_ms) AS start_ms, coalesce(a.end_ms, b.end_ms) AS end_ms, coalesce(a.text, b.text) AS text, CASE WHEN a.source_id IS NOT NULL AND b.source_id IS NOT NULL THEN 'standing' WHEN a.source_id IS NOT NULL THEN 'addressed' ELSE 'new' END AS status FROM words a FULL JOIN (SELECT * REPLACE (CASE WHEN pos % 4 = 0 THEN text || ' x' ELSE text END AS text) FROM words) b ON a.source_id = b.source_id AND a.start_ms = b.start_ms AND a.end_ms = b.end_ms AND a.text = b.text", EVENTS_SQL)
 def finding_diff(s: SparkSession, d: str) -> DataFrame:
     rows = spans(s, d, "words")
-    return timeline.finding_diff(rows.where("pos % 3 != 0"), rows.where("pos % 4 != 0"), ("source_id",))
+    return timeline.finding_diff(rows, rows.withColumn("text", F.when(F.col("pos") % 4 == 0, F.concat("text", F.lit(" x"))).otherwise(F.col("text"))), ("source_id",))
 
 
 @_add("round_deltas", "SELECT source_id, round, removal_percent, segments, round(removal_percent - lag(removal_percent) OVER w, 2) AS removal_delta, segments - lag(segments) OVER w AS segments_delta FROM (SELECT source_id, start_ms // 604800000 AS round, round(sum(end_ms - start_ms) / 6048000.0, 2) AS removal_percent, count(*) AS segments FROM cuts GROUP BY ALL) WINDOW w AS (PARTITION BY source_id ORDER BY round)", EVENTS_SQL)
@@ -319,10 +319,10 @@ def proposal_issues(s: SparkSession, d: str) -> DataFrame:
     return validate.proposal_problems(_proposals(s, d).withColumn("duration_ms", F.lit(2_500_000_000).cast("long"))).select("source_id", "pos", "problem")
 
 
-@_add("merge_proposals", "SELECT source_id, start_ms, end_ms, kind, reason, count(*) - 1 AS duplicates, CAST(min(f) AS INTEGER) AS first_file FROM (SELECT *, 0 AS f FROM rows WHERE pos % 2 = 0 UNION ALL SELECT *, 1 FROM rows WHERE pos % 3 = 0) GROUP BY source_id, start_ms, end_ms, kind, reason", EVENTS_SQL, PROPOSALS)
+@_add("merge_proposals", "SELECT source_id, start_ms, end_ms, kind, reason, count(*) - 1 AS duplicates, CAST(min(f) AS INTEGER) AS first_file FROM (SELECT *, 0 AS f FROM rows UNION ALL SELECT * REPLACE (end_ms + pos % 2 AS end_ms), 1 FROM rows) GROUP BY source_id, start_ms, end_ms, kind, reason", EVENTS_SQL, PROPOSALS)
 def merge_proposals(s: SparkSession, d: str) -> DataFrame:
     rows = _proposals(s, d)
-    return validate.merge_proposals(rows.where("pos % 2 = 0").drop("pos"), rows.where("pos % 3 = 0").drop("pos"))
+    return validate.merge_proposals(rows.drop("pos"), rows.withColumn("end_ms", F.col("end_ms") + F.col("pos") % 2).drop("pos"))
 
 
 @_add("segment_issues", """SELECT edl_id, pos, problem FROM (SELECT *, lag(out_ms) OVER (PARTITION BY edl_id ORDER BY pos) AS prev, count(*) OVER (PARTITION BY edl_id, id) AS n FROM (SELECT edl_id, pos, CASE WHEN pos % 5 = 0 THEN in_ms - 9000 ELSE in_ms END AS in_ms, out_ms, 'segment-' || (pos % 6) AS id, flag FROM seg)),
@@ -410,7 +410,7 @@ def match_targets(s: SparkSession, d: str) -> DataFrame:
 @_add("round_cut_diff", None)
 def round_cut_diff(s: SparkSession, d: str) -> DataFrame:
     rows = spans(s, d, "cuts").select("source_id", "pos", "start_ms", "end_ms", "reason")
-    return alignment.diff_cuts(rows.where("pos % 3 != 0"), rows.where("pos % 4 != 0").withColumn("end_ms", F.col("end_ms") - F.col("pos") % 2))
+    return alignment.diff_cuts(rows, rows.withColumn("end_ms", F.col("end_ms") - F.col("pos") % 2))
 
 
 @_add("reference_check", f"SELECT *, coalesce(relative > 0.05, true) AS withheld FROM (SELECT source_id, kept_ms, measured_ms, CASE WHEN measured_ms > 0 THEN round(abs(kept_ms - measured_ms) / measured_ms, 4) END AS relative FROM (SELECT source_id, {MONTH_MS} - CAST(sum(end_ms - start_ms) AS BIGINT) AS kept_ms, CASE WHEN source_id % 9 = 0 THEN 0 ELSE {MONTH_MS} - 100000000 END AS measured_ms FROM cuts GROUP BY source_id))", EVENTS_SQL)
