@@ -88,6 +88,11 @@ def expected_frames(in_ms: Column, out_ms: Column, fps: Column) -> Column:
     return (edge(out_ms) - edge(in_ms)).cast("long")
 
 
+def expected_frames_plain(total_ms: Column, fps: Column) -> Column:
+    """Frames of a length in milliseconds at the source's own rate."""
+    return round_half_up(total_ms / 1000.0 * fps)
+
+
 def at_centre(at_ms: Column, width_ms: int) -> tuple[Column, Column]:
     """A span of the given width about a point, moved to begin at 0 or later."""
     start = F.greatest(F.lit(0), at_ms - width_ms // 2)

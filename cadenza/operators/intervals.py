@@ -158,11 +158,11 @@ def gaps_between(spans: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     return spans.withColumn("_next", nxt).where("_next > end_ms").select(*by, F.col("end_ms").alias("start_ms"), F.col("_next").alias("end_ms"))
 
 
-def invert(cuts: DataFrame, lengths: DataFrame, by: Sequence[str] = BY, margin: int = 100, fps: float = 0.0, min_keep: int = 300) -> DataFrame:
+def invert(cuts: DataFrame, lengths: DataFrame, by: Sequence[str] = BY, margin: int = 100, fps: float = 0.0, min_keep: int = 300, crop: Column | None = None) -> DataFrame:
     """What remains of sources(by, duration_ms) after their cuts, as numbered segments.
 
     Cuts are merged, slivers absorbed; each remainder grows by the margin into its cuts, but not
-    before the source's start or past its end, and is snapped to frames."""
+    before the source's start or past its end, and is snapped to frames. A crop is given to every segment."""
     merged = absorb_slivers(merge_cuts(cuts, by), by, min_keep)
     # After the last cut comes a sentinel at the source's end.
     ends = lengths.select(*by, F.col("duration_ms").alias("start_ms"), F.col("duration_ms").alias("end_ms"), F.lit(True).alias("tail"))
@@ -172,9 +172,12 @@ def invert(cuts: DataFrame, lengths: DataFrame, by: Sequence[str] = BY, margin:
     rows = rows.withColumn("cursor", cursor).where("start_ms > cursor")
     start = F.greatest(F.lit(0), F.when(F.col("cursor") == 0, 0).otherwise(F.col("cursor") - margin))
     end = F.least(F.col("duration_ms"), F.when(F.col("tail"), F.col("duration_ms")).otherwise(F.col("start_ms") + margin))
-    out = rows.select(*by, snap_to_frame(start, fps).alias("in_ms"), snap_to_frame(end, fps).alias("out_ms")).where("out_ms > in_ms")
+    # The middle of the last frame may lie past the source.
+    snapped = F.least(F.col("duration_ms"), snap_to_frame(end, fps))
+    out = rows.select(*by, snap_to_frame(start, fps).alias("in_ms"), snapped.alias("out_ms")).where("out_ms > in_ms")
     pos = F.row_number().over(_window(by, "in_ms"))
-    return out.withColumn("pos", pos).withColumn("id", F.format_string("segment-%03d", pos))
+    out = out.withColumn("pos", pos).withColumn("id", F.format_string("segment-%03d", pos))
+    return out if crop is None else out.withColumn("crop", crop)
 
 
 def blocks(silences: DataFrame, ranges: DataFrame, by: Sequence[str] = BY) -> DataFrame:

@@ -96,12 +96,14 @@ def unaddressed(repeated: DataFrame, reasons: DataFrame, by: Sequence[str] = BY)
     return rows.where(~F.contains(F.coalesce("_all", F.lit("")), F.lower(tx.fold(F.col("phrase"))))).drop("_all")
 
 
-def heard_share(windows: DataFrame, cached: DataFrame, by: Sequence[str] = BY, bucket_ms: int = 60_000) -> DataFrame:
-    """Of the carrying words of each window(by, pos, text, start_ms, end_ms) the share that overlapping cached words(text) hold."""
-    wanted = F.filter(tx.words_folded(F.col("text")), lambda w: F.length(w) >= tx.CARRYING)
+def heard_share(windows: DataFrame, cached: DataFrame, by: Sequence[str] = BY, bucket_ms: int = 60_000, key: str | None = None, shortest: int = tx.CARRYING) -> DataFrame:
+    """Of the words of each window(by, pos, text, start_ms, end_ms) with `shortest` letters or more the share that overlapping
+    cached words(text) hold. key: a further column that tells windows of one pos apart."""
+    keys = [*by, "pos", *([key] if key else [])]
+    wanted = F.filter(tx.words_folded(F.col("text")), lambda w: F.length(w) >= shortest)
     said = cached.select(*by, "start_ms", "end_ms", F.explode(tx.words_folded(F.col("text"))).alias("w"))
-    pairs = interval_join(windows.select(*by, "pos", "start_ms", "end_ms"), said, by, bucket_ms).groupBy(*by, "pos").agg(F.collect_set("r_w").alias("_heard"))
-    rows = windows.withColumn("_wanted", wanted).join(pairs, [*by, "pos"], "left").withColumn("_heard", F.coalesce("_heard", F.array().cast("array<string>")))
+    pairs = interval_join(windows.select(*keys, "start_ms", "end_ms"), said, by, bucket_ms).groupBy(*keys).agg(F.collect_set("r_w").alias("_heard"))
+    rows = windows.withColumn("_wanted", wanted).join(pairs, keys, "left").withColumn("_heard", F.coalesce("_heard", F.array().cast("array<string>")))
     hits = F.size(F.filter("_wanted", lambda w: F.array_contains(F.col("_heard"), w)))
     return rows.withColumn("wanted", F.size("_wanted")).withColumn("share", F.try_divide(hits, F.size("_wanted"))).drop("_wanted", "_heard")
 

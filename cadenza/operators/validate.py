@@ -66,6 +66,36 @@ def crop_fits(crop: Column) -> Column:
     return F.coalesce((x >= 0) & (y >= 0) & (w > 0) & (h > 0) & (x + w <= 1) & (y + h <= 1), F.lit(True))
 
 
+def external_audio_problems(edls: DataFrame, sources: DataFrame, by: Sequence[str] = ("edl_id",)) -> DataFrame:
+    """edls(by, external_audio_source_id) whose separate recording is none of their sources(by, id, has_audio), or has no sound.
+    A document without such a name has no problem."""
+    own = sources.groupBy(*by, "id").agg(F.bool_or("has_audio").alias("has_audio"))
+    named = edls.where("external_audio_source_id IS NOT NULL").select(*by, F.col("external_audio_source_id").alias("id"))
+    rows = named.join(own.withColumn("_known", F.lit(True)), [*by, "id"], "left")
+    message = F.when(F.col("_known").isNull(), F.concat(F.lit("external audio source '"), F.col("id"), F.lit("' is not in sources")))
+    message = message.when(~F.coalesce("has_audio", F.lit(False)), F.concat(F.lit("external audio source '"), F.col("id"), F.lit("' has no audio stream")))
+    return rows.select(*by, message.alias("problem")).where("problem IS NOT NULL")
+
+
+def source_problems(segments: DataFrame, sources: DataFrame, edls: DataFrame, by: Sequence[str] = ("edl_id",)) -> DataFrame:
+    """Segments(by, pos, source, crop) whose source is unknown, lacks the picture that the document has, lacks sound that is
+    required and comes from no separate recording, or that are cropped without a picture.
+
+    sources: by, id, has_video, has_audio; edls: by, audio_required, external_audio_source_id."""
+    own = sources.groupBy(*by, F.col("id").alias("source")).agg(F.bool_or("has_video").alias("has_video"), F.bool_or("has_audio").alias("has_audio"))
+    picture = sources.groupBy(*by).agg(F.bool_or("has_video").alias("_picture"))
+    rows = segments.join(own.withColumn("_known", F.lit(True)), [*by, "source"], "left").join(picture, list(by), "left")
+    rows = rows.join(edls.select(*by, "audio_required", F.col("external_audio_source_id").isNotNull().alias("_apart")), list(by), "left")
+    known, yes = F.col("_known").isNotNull(), lambda c: F.coalesce(F.col(c), F.lit(False))
+    rules = [
+        (~known, "unknown source"),
+        (known & yes("_picture") & ~yes("has_video"), "source lacks video"),
+        (known & yes("audio_required") & ~yes("_apart") & ~yes("has_audio"), "source lacks required audio"),
+        (known & F.col("crop").isNotNull() & ~yes("_picture"), "crop without a picture"),
+    ]
+    return _each(rows, [*by, "pos"], rules)
+
+
 def edl_problems(edls: DataFrame, segments: DataFrame, by: Sequence[str] = ("edl_id",), most: int = 999) -> DataFrame:
     """Documents without segments, with too many, or approved while a segment isn't."""
     n = segments.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col("approval") != "approved").alias("waiting"))

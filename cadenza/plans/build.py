@@ -23,6 +23,14 @@ def register_span_source(name: str, make: Callable[..., DataFrame]) -> None:
     SPAN_SOURCES[name] = make
 
 
+def proposals_from(names: list[str], **inputs: object) -> DataFrame:
+    """The proposals of the named sources over their inputs, each once, with the number of times they came."""
+    unknown = [n for n in names if n not in SPAN_SOURCES]
+    if unknown or not names:
+        raise UsageError(f"unknown span source {unknown[0]!r}" if unknown else "name a span source")
+    return validate.merge_proposals(*(SPAN_SOURCES[n](**inputs) for n in names))
+
+
 def build_edit(silences: DataFrame, words: DataFrame, proposals: DataFrame, lengths: DataFrame, margin: int = 100, fps: float = 0.0, min_keep: int = 300, bucket_ms: int = 60_000) -> DataFrame:
     """Silences clamped to words, joined with semantic proposals, merged and inverted to segments with their risk.
 

@@ -48,15 +48,20 @@ def edl_build(silences: DataFrame, words: DataFrame, proposals: DataFrame, lengt
 def semantic_export(lines: DataFrame, segments: DataFrame, silences: DataFrame, levels: DataFrame, refs: DataFrame, min_ms: int = 600) -> dict[str, DataFrame]:
     """What a reviewer reads: surviving lines with their nearest block, repeats, silent and quiet segments."""
     kept = iv.surviving_lines(lines, segments)
-    near = iv.nearest_block(kept.select("source_id", F.col("idx").alias("pos"), F.col("start_ms").alias("at_ms")), refs)
     return {
-        "lines": kept.join(near.select("source_id", F.col("pos").alias("idx"), "ref"), ["source_id", "idx"], "left"),
+        "lines": with_nearest_refs(kept, refs),
         "repeats": phrases.repeated_phrases(lines),
         "silent": iv.silent_segments(segments, silences, min_ms),
         "quiet": series.quiet_segments(levels),
     }
 
 
+def with_nearest_refs(lines: DataFrame, refs: DataFrame) -> DataFrame:
+    """Lines(source_id, idx, start_ms) with `ref`, the block nearest to their start."""
+    near = iv.nearest_block(lines.select("source_id", F.col("idx").alias("pos"), F.col("start_ms").alias("at_ms")), refs)
+    return lines.join(near.select("source_id", F.col("pos").alias("idx"), "ref"), ["source_id", "idx"], "left")
+
+
 def semantic_check(proposals: DataFrame, lengths: DataFrame, repeated: DataFrame, kept: DataFrame | None = None) -> DataFrame:
     """The status of each source's proposals: rejected, unaddressed-repeats, valid-with-kept-repeats or valid."""
     count = lambda df, name: df.groupBy("source_id").agg(F.count("*").alias(name))
@@ -148,10 +153,10 @@ def verify_windows(windows: DataFrame, cached: DataFrame | None = None) -> dict[
     return out
 
 
-def corroborate(repeats: DataFrame, cached: DataFrame, least: float = 0.6) -> DataFrame:
-    """Repeats of which the cached words hold enough: corroborated true, else null."""
-    rows = phrases.heard_share(repeats.withColumn("text", F.col("phrase")), cached)
-    return rows.withColumn("corroborated", F.when(F.col("share") >= least, True)).drop("text", "wanted", "share")
+def corroborate(repeats: DataFrame, cached: DataFrame, least: float = 0.6, bucket_ms: int = 60_000) -> DataFrame:
+    """Repeats with `corroborated`, whether the cached words of the window hold enough of all words of the phrase."""
+    rows = phrases.heard_share(repeats.withColumn("text", F.col("phrase")), cached, bucket_ms=bucket_ms, key="phrase", shortest=1)
+    return rows.withColumn("corroborated", F.coalesce(F.col("share") >= least, F.lit(False))).drop("text", "wanted", "share")
 
 
 def open_session(silences: DataFrame, lengths: DataFrame, top: int = 10) -> dict[str, DataFrame]:
@@ -206,14 +211,23 @@ def compare(words: DataFrame, reference: DataFrame, silences: DataFrame, cuts: D
     head = headline(recovered, cuts, lengths)
     checked = alignment.check_reference(head.select("source_id", F.col("reference_kept_ms").alias("kept_ms")).join(spoken.select("source_id", "measured_ms"), "source_id"))
     differ = alignment.compare_cuts(recovered, cuts, words).join(checked.where("withheld").select("source_id"), "source_id", "left_anti")
-    return {"recovered": recovered, "headline": head, "reference": checked, "differences": differ}
+    return {"recovered": recovered, "headline": headline(recovered, cuts, lengths, differ), "reference": checked, "differences": differ}
 
 
-def headline(recovered: DataFrame, cuts: DataFrame, lengths: DataFrame) -> DataFrame:
-    """Sums of both cut lists of each source and what the reference keeps of it."""
+def headline(recovered: DataFrame, cuts: DataFrame, lengths: DataFrame, differences: DataFrame | None = None) -> DataFrame:
+    """Sums of both cut lists of each source, what each keeps of it (null if its length is unknown), and of what
+    differs(source_id, verdict, start_ms, end_ms). Neither list's cuts may overlap one another."""
     total = lambda df, n, t: df.groupBy("source_id").agg(F.count("*").alias(n), F.sum(F.col("end_ms") - F.col("start_ms")).alias(t))
     rows = lengths.join(total(recovered, "recovered", "recovered_ms"), "source_id", "left").join(total(cuts, "cuts", "cut_ms"), "source_id", "left")
-    return rows.na.fill(0).withColumn("reference_kept_ms", F.col("duration_ms") - F.col("recovered_ms"))
+    rows = rows.na.fill(0, ["recovered", "recovered_ms", "cuts", "cut_ms"])
+    kept, reference = F.col("duration_ms") - F.col("cut_ms"), F.col("duration_ms") - F.col("recovered_ms")
+    rows = rows.withColumn("kept_ms", kept).withColumn("reference_kept_ms", reference).withColumn("kept_delta_ms", kept - reference)
+    if differences is None:
+        return rows
+    of = lambda v: F.col("verdict") == v
+    length = F.col("end_ms") - F.col("start_ms")
+    told = differences.groupBy("source_id").agg(*(x for v in ("missed", "overcut") for x in (F.count_if(of(v)).alias(v), F.sum(F.when(of(v), length).otherwise(0)).alias(f"{v}_ms"))))
+    return rows.join(told, "source_id", "left").na.fill(0, ["missed", "missed_ms", "overcut", "overcut_ms"])
 
 
 def sessions(listing: DataFrame, older_than_days: int, now: Column) -> dict[str, DataFrame]:

@@ -28,6 +28,36 @@ DRIFT = """drift AS (SELECT w.source_id, w.pos, w.start_ms, w.end_ms, s.start_ms
 QUALIFY row_number() OVER (PARTITION BY w.source_id, w.pos ORDER BY s.pos) = 1)"""
 
 
+OVERLAPPING = "SELECT c.source_id, c.pos, list({{'s': w.start_ms, 'e': w.end_ms}} ORDER BY w.start_ms, w.end_ms) AS ws FROM {spans} c JOIN {words} w ON w.source_id = c.source_id AND w.end_ms > c.start_ms AND w.start_ms < c.end_ms GROUP BY c.source_id, c.pos"
+#: Words whose start lies in no silence.
+LOUD = "loud AS (SELECT DISTINCT w.source_id, w.start_ms, w.end_ms FROM words w WHERE NOT EXISTS (SELECT 1 FROM silences q WHERE q.source_id = w.source_id AND q.start_ms <= w.start_ms AND w.start_ms < q.end_ms))"
+
+
+def clamped_sql(table: str) -> str:
+    """Rows of a table of spans, with their edges (a, b) moved off the words, one word after the other."""
+    step = "lambda x, w: {'s': CASE WHEN w.s < x.s AND w.e > x.s THEN w.e ELSE x.s END, 'e': CASE WHEN w.s < x.e AND w.e > x.e THEN w.s ELSE x.e END}"
+    moved = f"SELECT c.*, list_reduce(list_prepend({{'s': c.start_ms, 'e': c.end_ms}}, coalesce(o.ws, [])), {step}) AS x FROM {table} c LEFT JOIN ({OVERLAPPING.format(spans=table, words='words')}) o ON o.source_id = c.source_id AND o.pos = c.pos"
+    return f"SELECT * EXCLUDE (x, start_ms, end_ms), CASE WHEN x.e - x.s >= 300 THEN x.s ELSE start_ms END AS start_ms, CASE WHEN x.e - x.s >= 300 THEN x.e ELSE end_ms END AS end_ms FROM ({moved}) WHERE x.e - x.s >= 300 OR end_ms - start_ms >= 300"
+
+
+def snapped_sql(table: str) -> str:
+    step = "lambda x, w: {'s': x.s, 'e': CASE WHEN x.s < w.s AND w.s < x.e AND x.e < w.e THEN w.s ELSE x.e END}"
+    return f"SELECT c.* REPLACE (list_reduce(list_prepend({{'s': c.start_ms, 'e': c.end_ms}}, coalesce(o.ws, [])), {step}).e AS end_ms) FROM {table} c LEFT JOIN ({OVERLAPPING.format(spans=table, words='loud')}) o ON o.source_id = c.source_id AND o.pos = c.pos"
+
+
+def auto_merged_sql(table: str) -> str:
+    """Touching automatic cuts with their evidence told in order."""
+    differs = "x.i <> a.i OR x.m <> a.m"
+    step = f"lambda a, x: {{'i': a.i, 'm': CASE WHEN {differs} THEN a.m || '; ' || x.m ELSE a.m END, 'r': CASE WHEN {differs} THEN a.r || '; ' || x.r ELSE a.r END}}"
+    islands = ISLANDS.format(test="> 0", table=table).replace("start_ms, end_ms, pos", "start_ms, pos")
+    told = f"list_reduce(list({{'i': instrument, 'm': measurement, 'r': reason}} ORDER BY start_ms, pos), {step})"
+    return f"SELECT source_id, start_ms, end_ms, told.i AS instrument, told.m AS measurement, told.r AS reason FROM (SELECT source_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, {told} AS told FROM ({islands}) GROUP BY source_id, island)"
+
+
+def merged_sql(table: str, test: str) -> str:
+    return f"SELECT source_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, {REASON} FROM ({ISLANDS.format(test=test, table=f'(SELECT *, 0 AS pos FROM {table})')}) GROUP BY source_id, island"
+
+
 def _add(name: str, sql: str | None, *ctes: str):
     def register(f):
         QUERIES[name] = f
@@ -65,7 +95,7 @@ def merge_word_spans(s: SparkSession, d: str) -> DataFrame:
     return iv.merge_word_spans(spans(s, d, "words"))
 
 
-@_add("merge_auto_cuts", None)
+@_add("merge_auto_cuts", auto_merged_sql("(SELECT source_id, pos, start_ms, end_ms, kind AS instrument, printf('%.2f', value) AS measurement, kind || ': ' || printf('%.2f', value) AS reason FROM ev)"))
 def merge_auto_cuts(s: SparkSession, d: str) -> DataFrame:
     rows = spans(s, d).withColumn("instrument", F.col("kind")).withColumn("measurement", F.format_string("%.2f", "value")).withColumn("reason", F.concat_ws(": ", "kind", "measurement"))
     return iv.merge_auto_cuts(rows)
@@ -77,12 +107,12 @@ def merge_repeats(s: SparkSession, d: str) -> DataFrame:
     return iv.merge_repeats(rows)
 
 
-@_add("clamp_cuts", None)
+@_add("clamp_cuts", clamped_sql("cuts"))
 def clamp_cuts(s: SparkSession, d: str) -> DataFrame:
     return iv.clamp_to_words(spans(s, d, "cuts"), spans(s, d, "words").select("source_id", "start_ms", "end_ms"), bucket_ms=BUCKET_MS)
 
 
-@_add("snap_to_words", None)
+@_add("snap_to_words", snapped_sql("cuts"), LOUD)
 def snap_to_words(s: SparkSession, d: str) -> DataFrame:
     return iv.snap_to_words(spans(s, d, "cuts"), spans(s, d, "words").select("source_id", "start_ms", "end_ms"), spans(s, d, "silences"), bucket_ms=BUCKET_MS)
 

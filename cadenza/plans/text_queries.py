@@ -9,6 +9,7 @@ from cadenza.functions import jsonpath, scalar
 from cadenza.functions import text as tx
 from cadenza.operators import alignment, phrases, series
 from cadenza.plans import build
+from cadenza.plans import interval_queries as iq
 from cadenza.plans.tables import BUCKET_MS, EVENTS_SQL, MONTH_MS, lengths, lines, spans, table, turn_words, turns
 from cadenza.sources import documents as sd
 from cadenza.sources import logs
@@ -191,12 +192,30 @@ def anomalies(s: SparkSession, d: str) -> DataFrame:
     return out.select("source_id", "pos", "wanted", F.round("share", 6).alias("share"))
 
 
-@_add("grown_repeats", None)
+def _met(n: int) -> str:
+    """Neighbouring places (a, b), from 1, of each run of n folded words of a line, with the line's words."""
+    run = " || ' ' || ".join(f"w[i + {k}]" for k in range(n))
+    return f"""fw AS MATERIALIZED (SELECT source_id, idx AS pos, lang, {words_of(n2('text'))} AS w FROM lines),
+met AS (SELECT source_id, pos, lang, w, len(w) AS n, a, b FROM (SELECT * FROM (SELECT source_id, pos, i AS b, lag(i) OVER (PARTITION BY source_id, pos, run ORDER BY i) AS a FROM (SELECT source_id, pos, i, {run} AS run FROM (SELECT source_id, pos, w, unnest(range(1, len(w) - {n - 2})) AS i FROM fw))) WHERE a IS NOT NULL) JOIN fw USING (source_id, pos))"""
+
+
+STOP = f"CASE WHEN lower(strip_accents(lang)) LIKE 'en%' THEN {_list(tx.STOPWORDS_EN)} ELSE {_list(tx.STOPWORDS_ES)} END"
+GROWN = [
+    "back AS (SELECT *, coalesce(list_filter(range(1, a), lambda k: w[a - k] <> w[b - k])[1], a) - 1 AS back FROM met)",
+    "ahead AS (SELECT *, list_filter(range(3, n + 2), lambda k: a + k >= b - back OR b + k > n OR w[a + k] <> w[b + k])[1] AS size FROM back)",
+    "spread AS (SELECT DISTINCT source_id, pos, lang, a - back AS s, a + size AS e FROM ahead)",
+    "chained AS (SELECT source_id, pos, lang, min(s) AS s, max(e) AS e FROM (SELECT *, sum(fresh) OVER (PARTITION BY source_id, pos ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN s < max(e) OVER (PARTITION BY source_id, pos ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM spread)) GROUP BY source_id, pos, lang, island)",
+    "cited AS (SELECT source_id, pos, lang, array_to_string(list_transform(w, lambda x: ' ' || x || ' '), '') AS hay, w[s:e - 1] AS p FROM chained JOIN fw USING (source_id, pos, lang))",
+    f"grown AS (SELECT source_id, pos, array_to_string(p, ' ') AS phrase, CAST((length(hay) - length(replace(hay, ' ' || array_to_string(p, '  ') || ' ', ''))) // length(' ' || array_to_string(p, '  ') || ' ') AS BIGINT) AS count, CAST(len(list_filter(p, lambda x: NOT list_contains({STOP}, x))) AS INTEGER) AS content_words FROM cited)",
+]
+
+
+@_add("grown_repeats", f"SELECT *, content_words < {tx.CONTENT_FLOOR} AS discounted FROM grown", LINES, _met(3), *GROWN)
 def grown_repeats(s: SparkSession, d: str) -> DataFrame:
     return phrases.grown_repeats(lines(s, d).withColumnRenamed("idx", "pos"))
 
 
-@_add("restarts", None)
+@_add("restarts", f"SELECT DISTINCT source_id, pos, array_to_string(w[a:a + size - 1], ' ') AS phrase FROM (SELECT *, list_filter(range(2, n + 2), lambda k: a + k >= b OR b + k > n OR w[a + k] <> w[b + k])[1] AS size FROM met) WHERE a + size < b AND b + size <= n AND b - a - size < size AND len(list_filter(w[a:a + size - 1], lambda x: NOT list_contains({STOP}, x))) > 0", LINES, _met(2))
 def restarts(s: SparkSession, d: str) -> DataFrame:
     return phrases.restarts(lines(s, d).withColumnRenamed("idx", "pos"))
 
@@ -375,13 +394,36 @@ def scalar_parsers(s: SparkSession, d: str) -> DataFrame:
     return spans(s, d).select("pos", F.round(scalar.parse_rate(rate), 6).alias("rate"), scalar.duration_text(F.col("start_ms")).alias("length"), scalar.parse_crop(crop)["x"].alias("crop_x"), scalar.parse_positions(positions)[1].alias("last_position"), scalar.bar(p % 100 / 100.0).alias("bar"))
 
 
-@_add("edit_build", None)
+EDIT = [
+    f"marked AS (SELECT source_id, start_ms, least(end_ms, {MONTH_MS}) AS end_ms, 'semantic' AS reason FROM proposals WHERE start_ms < {MONTH_MS} AND least(end_ms, {MONTH_MS}) > start_ms)",
+    f"every AS (SELECT source_id, start_ms, end_ms, 'silence' AS reason FROM ({iq.clamped_sql('silences')}) UNION ALL SELECT * FROM marked)",
+    f"once AS ({iq.merged_sql('every', '> 0')})",
+    f"wide AS ({iq.merged_sql('once', '>= 300')})",
+    f"""kept AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY in_ms) AS n FROM (SELECT source_id, CAST(greatest(0, CASE WHEN cursor = 0 THEN 0 ELSE cursor - 100 END) AS BIGINT) AS in_ms, CAST(least({MONTH_MS}, CASE WHEN tail THEN {MONTH_MS} ELSE start_ms + 100 END) AS BIGINT) AS out_ms FROM (
+SELECT *, coalesce(max(end_ms) OVER (PARTITION BY source_id ORDER BY tail, start_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cursor FROM (SELECT source_id, start_ms, end_ms, false AS tail FROM wide UNION ALL SELECT source_id, duration_ms, duration_ms, true FROM lengths)) WHERE start_ms > cursor) WHERE out_ms > in_ms)""",
+]
+
+
+@_add("edit_build", "SELECT source_id, in_ms, out_ms, CAST(n AS INTEGER) AS pos, printf('segment-%03d', n) AS id, CASE WHEN EXISTS (SELECT 1 FROM marked m WHERE m.source_id = k.source_id AND (abs(m.start_ms - in_ms) <= 134 OR abs(m.end_ms - in_ms) <= 134 OR abs(m.start_ms - out_ms) <= 134 OR abs(m.end_ms - out_ms) <= 134)) THEN 'material' ELSE 'low' END AS semantic_risk FROM kept k", EVENTS_SQL, *EDIT)
 def edit_build(s: SparkSession, d: str) -> DataFrame:
     marked = spans(s, d, "proposals").where(F.col("start_ms") < MONTH_MS).select("source_id", "start_ms", F.least("end_ms", F.lit(MONTH_MS)).alias("end_ms"), F.lit("filler").alias("kind"), F.lit("marked").alias("reason")).where("end_ms > start_ms")
     return build.build_edit(spans(s, d, "silences"), spans(s, d, "words"), marked, lengths(s, d), bucket_ms=BUCKET_MS)
 
 
-@_add("auto_cuts", None)
+NONSPEECH = "SELECT source_id, pos, greatest(a, x) AS start_ms, least(b, y) AS end_ms FROM (SELECT o.source_id, o.pos, o.start_ms AS a, o.end_ms AS b, q.start_ms AS x, q.end_ms AS y FROM others o JOIN silences q ON q.source_id = o.source_id AND q.end_ms > o.start_ms AND q.start_ms < o.end_ms WHERE o.end_ms - o.start_ms >= 800 QUALIFY row_number() OVER (PARTITION BY o.source_id, o.pos ORDER BY q.start_ms, q.end_ms) = 1) WHERE least(b, y) - greatest(a, x) >= 800"
+AUTO = [
+    f"""told AS (SELECT *, instrument || ': ' || measurement AS reason FROM (SELECT source_id, pos, start_ms, end_ms, 'nonspeech' AS instrument, (end_ms - start_ms) || ' ms without speech' AS measurement FROM ({NONSPEECH})
+UNION ALL SELECT source_id, (1::BIGINT << 40) + pos, start_ms, end_ms, 'silence', (end_ms - start_ms) || ' ms of silence' FROM silences WHERE end_ms - start_ms >= 800 UNION ALL SELECT source_id, (2::BIGINT << 40) + pos, start_ms, end_ms, 'repetition', 'said twice' FROM cuts))""",
+    f"first AS (SELECT *, 0 AS pos FROM ({iq.auto_merged_sql('told')}))",
+    "stranded AS (SELECT g.source_id, g.prev AS start_ms, g.start_ms AS end_ms, count(w.pos) AS n FROM (SELECT *, lag(end_ms) OVER (PARTITION BY source_id ORDER BY start_ms) AS prev FROM first) g LEFT JOIN words w ON w.source_id = g.source_id AND w.end_ms > g.prev AND w.start_ms < g.start_ms WHERE g.start_ms > g.prev AND g.start_ms - g.prev < 300 GROUP BY ALL)",
+    "joined AS (SELECT source_id, pos, start_ms, end_ms, instrument, measurement, reason FROM first UNION ALL SELECT source_id, 0, start_ms, end_ms, 'fragment', n || ' words stranded', 'fragment: ' || n || ' words stranded' FROM stranded)",
+    f"second AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY start_ms) AS pos FROM ({iq.auto_merged_sql('joined')}))",
+    iq.LOUD,
+    f"drawn AS (SELECT * FROM ({iq.snapped_sql('second')}) WHERE end_ms > start_ms)",
+]
+
+
+@_add("auto_cuts", f"SELECT source_id, start_ms, end_ms, instrument, measurement, reason FROM drawn WHERE source_id NOT IN (SELECT source_id FROM drawn GROUP BY source_id HAVING sum(end_ms - start_ms) > 0.5 * {MONTH_MS})", EVENTS_SQL, *AUTO)
 def auto_cuts(s: SparkSession, d: str) -> DataFrame:
     columns = ["source_id", "pos", "start_ms", "end_ms"]
     return build.plan_auto_cuts(spans(s, d, "silences"), spans(s, d, "others").select(columns), spans(s, d, "cuts").select(columns), spans(s, d, "words"), lengths(s, d), bucket_ms=BUCKET_MS)

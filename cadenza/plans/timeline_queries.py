@@ -407,7 +407,13 @@ def match_targets(s: SparkSession, d: str) -> DataFrame:
     return validate.match_targets(_outputs(s, d).select("id", (F.col("id") % 100).alias("percent")), ranges)
 
 
-@_add("round_cut_diff", None)
+#: Each earlier cut in turn takes the first later one that overlaps it and that no other has taken.
+TAKEN = """sides AS (SELECT source_id, list({'s': start_ms, 'e': end_ms, 't': end_ms - pos % 2, 'r': reason} ORDER BY pos) AS x FROM cuts GROUP BY source_id),
+taken AS (SELECT source_id, x, 0 AS k, CAST([] AS BIGINT[]) AS used, CAST(0 AS BIGINT) AS j FROM sides UNION ALL SELECT source_id, x, k + 1, CASE WHEN j2 > 0 THEN list_append(used, j2) ELSE used END, j2 FROM (
+SELECT *, coalesce(list_filter(range(1, len(x) + 1), lambda i: NOT list_contains(used, i) AND x[i].t > x[k + 1].s AND x[i].s < x[k + 1].e)[1], 0) AS j2 FROM taken WHERE k < len(x)))"""
+
+
+@_add("round_cut_diff", "SELECT source_id, CASE WHEN j = 0 THEN 'removed' WHEN x[j].s = x[k].s AND x[j].t = x[k].e AND x[j].r = x[k].r THEN 'unchanged' ELSE 'changed' END AS status, CASE WHEN j = 0 THEN x[k].s ELSE x[j].s END AS start_ms, CASE WHEN j = 0 THEN x[k].e ELSE x[j].t END AS end_ms FROM taken WHERE k > 0 UNION ALL SELECT source_id, 'added', x[i].s, x[i].t FROM (SELECT source_id, x, used, unnest(range(1, len(x) + 1)) AS i FROM taken WHERE k = len(x)) WHERE NOT list_contains(used, i)", "RECURSIVE " + EVENTS_SQL.strip(), TAKEN)
 def round_cut_diff(s: SparkSession, d: str) -> DataFrame:
     rows = spans(s, d, "cuts").select("source_id", "pos", "start_ms", "end_ms", "reason")
     return alignment.diff_cuts(rows, rows.withColumn("end_ms", F.col("end_ms") - F.col("pos") % 2))

@@ -2,6 +2,12 @@ from __future__ import annotations
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
+from cadenza.functions.jsonpath import UsageError
+from cadenza.operators import intervals as iv
+from cadenza.operators import validate
 from cadenza.plans import build
 from tests.conftest import rows
 
@@ -63,3 +69,32 @@ def test_equal_cuts_count_once_and_long_ones_leave_no_fragment(spark):
     assert rows(two, "start_ms", "end_ms") == [(0, 4000)]
     inside = build.plan_auto_cuts(none, none, span(("a", 0, 0, 3000), ("a", 1, 100, 900), ("a", 2, 1000, 1900)), none, length).collect()
     assert len(inside) == 1 and "fragment" not in inside[0]["reason"]
+
+
+def test_segments_end_with_their_source_and_carry_the_crop(spark):
+    cuts = spark.createDataFrame([("a", 2000, 3000, "silence")], "source_id string, start_ms long, end_ms long, reason string")
+    length = spark.createDataFrame([("a", 10_001)], "source_id string, duration_ms long")
+    # The middle of the frame nearest to the end would be 10,017.
+    out = iv.invert(cuts, length, margin=0, fps=30.0, crop=F.struct(F.lit(0.25).alias("x")))
+    assert rows(out, "pos", "out_ms", "crop.x") == [(1, 2017, 0.25), (2, 10_001, 0.25)]
+
+
+def test_span_sources_are_read(spark, monkeypatch):
+    monkeypatch.setattr(build, "SPAN_SOURCES", {})
+    make = lambda kind: lambda at: spark.createDataFrame([("a", at, at + 10, kind, "x")], "source_id string, start_ms long, end_ms long, kind string, reason string")
+    build.register_span_source("one", make("filler"))
+    build.register_span_source("two", make("repetition"))
+    assert rows(build.proposals_from(["one", "two", "one"], at=5), "start_ms", "kind", "duplicates") == [(5, "filler", 1), (5, "repetition", 0)]
+    for bad in ([], ["three"]):
+        with pytest.raises(UsageError):
+            build.proposals_from(bad, at=5)
+    with pytest.raises(UsageError):
+        build.register_span_source("one", make("filler"))
+
+
+def test_rules_of_sources(spark):
+    sources = spark.createDataFrame([(1, "cam", True, False), (1, "mic", False, True), (2, "mic", False, True)], "edl_id long, id string, has_video boolean, has_audio boolean")
+    edls = spark.createDataFrame([(1, "cam", True), (2, None, True), (3, "mic", False)], "edl_id long, external_audio_source_id string, audio_required boolean")
+    assert rows(validate.external_audio_problems(edls, sources)) == [(1, "external audio source 'cam' has no audio stream"), (3, "external audio source 'mic' is not in sources")]
+    segments = spark.createDataFrame([(1, 0, "cam", None), (1, 1, "mic", None), (1, 2, "gone", None), (2, 0, "mic", (0.1,))], "edl_id long, pos long, source string, crop struct<x:double>")
+    assert rows(validate.source_problems(segments, sources, edls)) == [(1, 1, "source lacks video"), (1, 2, "unknown source"), (2, 0, "crop without a picture")]

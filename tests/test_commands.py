@@ -60,7 +60,7 @@ def test_compare_and_verify(spark, t):
     windows = spark.createDataFrame([("a", 0, "we love small rockets we love small rockets and", "en", 0, 9000)], "source_id string, pos long, text string, lang string, start_ms long, end_ms long")
     found = cmd.verify_windows(windows, t["words"])
     # The sweep hears the phrase twice, and the second word as a restart too.
-    assert rows(found["repeats"], "phrase", "count", "corroborated") == [("love small rockets", 2, None), ("we love small rockets", 2, None)]
+    assert rows(found["repeats"], "phrase", "count", "corroborated") == [("love small rockets", 2, False), ("we love small rockets", 2, False)]
     assert found["truncated"].count() == 1 and found["anomalies"].count() == 1
 
 
