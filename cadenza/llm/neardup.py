@@ -22,8 +22,10 @@ BANDS x ROWS miss a pair of exactly the threshold in all bands with probability
 (1 - 0.8**4)**28 < 1e-6; the estimates' margins are 5 and 4.5 standard deviations.
 
 Defined cases: null or empty text and text without words have an empty set and are
-linked with nothing; equal texts are linked; a null key is dropped from the result of
-`components` (there is no smallest key to speak of); extra columns are ignored.
+linked with nothing; equal texts are linked; repeated rows of one key come back each; a
+row without a key has no smallest key to name, so it is linked with nothing and comes
+back with the size of its set, a null component_id and kept; an empty table gives an
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -274,13 +276,14 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for docs(doc_id, text).
 
     Documents are linked where 100 * intersection >= percent * union; component_id is the
-    least doc_id reachable. One row per input row with a key."""
+    least doc_id reachable. One row per input row."""
     bound_batches(docs.sparkSession)
     if not 60 <= percent <= 100:
         raise ValueError("bands are laid out for similarities of 0.6 or more")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     all_rows = materialise(docs.mapInArrow(_sketch_rows(size), "doc_id long, n long, h1 long, h2 long, registers binary"), "sketches")
-    some = all_rows.where("n > 0")
+    linkable = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    some = all_rows.where(linkable)
     classes = materialise(some.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")), "classes")
     leads = materialise(some.join(classes.select(F.col("class_id").alias("doc_id"), "h1", "h2", "n"), ["doc_id", "h1", "h2", "n"], "left_semi").select("doc_id", "n", "registers").dropDuplicates(["doc_id"]), "leads")
     # Every bucket with two classes or more. Its head is the class that meets the most
@@ -323,8 +326,9 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         links = links.unionAll(materialise(_verified(docs, rest, size, percent), "links"))
         comp = materialise(connect(ids, links), "comp")
     found = classes.join(comp.withColumnRenamed("doc_id", "class_id"), "class_id").select("h1", "h2", "n", "comp")
-    out = all_rows.join(found, ["h1", "h2", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    # Rows without words all have one fingerprint; they are not joined.
+    out = some.join(found, ["h1", "h2", "n"]).select("doc_id", "n", "comp").unionAll(all_rows.where(~linkable).select("doc_id", "n", F.col("doc_id").alias("comp")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("comp"), F.lit(True)).alias("kept"))
 
 
 def components_sql(size: int = 2, percent: int = 80, table: str = "documents") -> str:

@@ -62,9 +62,9 @@ def lookup(spark: SparkSession, names: list[str], size: int = TABLE_SIZE) -> Dat
 def place(docs: DataFrame, key: str = "doc_id", shards: int | list[str] = SHARDS, size: int = TABLE_SIZE) -> DataFrame:
     """docs with columns slot and shard (0 up to the number of shards)."""
     names = [f"shard-{i:05d}" for i in range(shards)] if isinstance(shards, int) else list(shards)
-    kept = docs.drop("slot", "shard") if key not in ("slot", "shard") else docs
+    own = [c for c in docs.columns if c not in ("slot", "shard")]
     table = F.broadcast(lookup(docs.sparkSession, names, size))
-    return kept.withColumn("slot", slot_of(F.col(key), size)).join(table, "slot", "left").select(*kept.columns, "slot", "shard")
+    return docs.select(*own, slot_of(F.col(key), size).alias("slot")).join(table, "slot", "left").select(*own, "slot", "shard")
 
 
 def place_sql(key: str = "doc_id", shards: int = SHARDS, size: int = TABLE_SIZE) -> tuple[str, str]:
