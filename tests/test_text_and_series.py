@@ -209,3 +209,17 @@ def test_build(spark):
     assert rows(got, "in_ms", "out_ms", "semantic_risk") == [(0, 2100, "low"), (3000, 5000, "material"), (6000, 10000, "material")]
     with pytest.raises(Exception, match="invalid proposal"):
         build.build_edit(quiet, words, said.withColumn("kind", F.lit("odd")), ends).collect()
+
+
+def test_surviving_repeats_against_every_place(spark):
+    """Phrases are counted wherever they begin, overlaps and places across lines included."""
+    texts = [("a", 0, "Ha ha ha ha! We go home."), ("a", 1, "we go home, we GO home"), ("b", 0, "we go"), ("b", 1, "home alone")]
+    said = [("a", "ha ha ha", 2), ("a", "ha ha ha", 3), ("a", "we go home", 3), ("a", "we go home", 4), ("b", "we go home", 1), ("b", "go home alone", 2), ("c", "we go home", 0)]
+    heard = {"a": "ha ha ha ha we go home we go home we go home", "b": "we go home alone"}
+    want = []
+    for source, phrase, count in said:
+        n = sum(heard.get(source, "").startswith(phrase, i) for i in range(len(heard.get(source, ""))))
+        if source in heard and n >= count:
+            want.append((source, phrase, count, n))
+    got = phrases.surviving_repeats(spark.createDataFrame(said, "source_id string, phrase string, count long"), spark.createDataFrame(texts, "source_id string, pos long, text string"))
+    assert rows(got, "source_id", "phrase", "count", "heard") == sorted(want)
