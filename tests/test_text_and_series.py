@@ -223,3 +223,10 @@ def test_surviving_repeats_against_every_place(spark):
             want.append((source, phrase, count, n))
     got = phrases.surviving_repeats(spark.createDataFrame(said, "source_id string, phrase string, count long"), spark.createDataFrame(texts, "source_id string, pos long, text string"))
     assert rows(got, "source_id", "phrase", "count", "heard") == sorted(want)
+
+
+def test_spans_without_length_are_neither_missed_nor_overcut(spark):
+    span = "source_id string, pos long, start_ms long, end_ms long"
+    recovered, cuts = spark.createDataFrame([("a", 0, 500, 500), ("a", 1, 5000, 6000)], span), spark.createDataFrame([("a", 7, 2250, 2250), ("a", 8, 2000, 3000)], span)
+    words = spark.createDataFrame([("a", 0, "uno", 2000, 2500)], "source_id string, pos long, text string, start_ms long, end_ms long")
+    assert rows(alignment.compare_cuts(recovered, cuts, words), "verdict", "pos", "coverage") == [("missed", 1, 0.0), ("overcut", 8, 0.0)]
