@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadenza.functions.jsonpath import UsageError
+from cadenza.operators import intervals
 from cadenza.plans import commands as cmd
 from tests.conftest import rows
 
@@ -83,3 +84,10 @@ def test_questions(spark):
         cmd.ask(spark.range(1), jq=".", fields="a")
     assert cmd.ask(spark.range(1), fields="id,x").first().asDict() == {"id": 0, "field_errors": ["x"]}
     assert "durationMs" in cmd.schema("report")
+
+
+def test_lines_after_a_silence_without_length_get_the_later_block(spark):
+    span = "source_id string, pos long, start_ms long, end_ms long"
+    refs = intervals.speech_refs(spark.createDataFrame([("a", 0, 6000, 6000)], span), spark.createDataFrame([("a", 10000)], "source_id string, duration_ms long"))
+    said = spark.createDataFrame([("a", 0, 5000, 5500, "uno"), ("a", 1, 6000, 6500, "dos"), ("a", 2, 7000, 7500, "tres")], "source_id string, idx long, start_ms long, end_ms long, text string")
+    assert rows(cmd.with_nearest_refs(said, refs), "idx", "ref") == [(0, "b1"), (1, "b2"), (2, "b2")]
