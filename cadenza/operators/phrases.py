@@ -183,6 +183,13 @@ def restarts_of(words: list[str], stop: frozenset[str]) -> list[str]:
     return out
 
 
+def says_again(text: Column, n: int = tx.RUN) -> Column:
+    """Whether a window says a run of n words twice or more."""
+    # Bound to a variable, or each run would split its text anew.
+    again = lambda runs: F.size(F.array_distinct(runs)) < F.size(runs)
+    return F.exists(F.array(tx.words_folded(text)), lambda w: F.exists(F.array(tx.ngrams(w, n)), again))
+
+
 def _per_window(windows: DataFrame, by: Sequence[str], lang: str, fields: str, find) -> DataFrame:
     keys = [*by, "pos"]
     rows = windows.select(*keys, F.array_join(tx.words_folded(F.col("text")), " ").alias("_words"), tx.is_english(F.col(lang)).alias("_en"))
@@ -216,43 +223,49 @@ def restarts(windows: DataFrame, by: Sequence[str] = BY, lang: str = "lang") ->
     return _per_window(windows, by, lang, "phrase string", lambda words, stop: [(p,) for p in restarts_of(words, stop)])
 
 
-def phrase_places(phrase: list[str], words: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
-    """Spans of the places of a phrase in words (token, start, end), from the left, without overlaps."""
-    out, i = [], 0
-    while phrase and i + len(phrase) <= len(words):
-        if all(words[i + k][0] == t for k, t in enumerate(phrase)):
-            out.append((words[i][1], words[i + len(phrase) - 1][2]))
-            i += len(phrase)
-        else:
-            i += 1
-    return out
+def _first_places(phrase: Column, said: Column) -> Column:
+    """Places (from 0) of the first two readings of a phrase in an array of tokens, from the left, without overlaps."""
+    none = F.array().cast("array<int>")
+
+    def places(x: Column) -> Column:
+        p, w = x["p"], x["w"]
+        n = F.size(p)
+        # The first token is compared before a run is cut out for it.
+        starts = F.filter(F.sequence(F.lit(0), F.size(w) - n), lambda i: (F.get(w, i) == F.get(p, F.lit(0))) & (F.slice(w, i + 1, n) == p))
+        take = lambda acc, i: F.when((F.size(acc) == 0) | ((F.size(acc) == 1) & (i >= F.get(acc, F.lit(0)) + n)), F.concat(acc, F.array(i))).otherwise(acc)
+        return F.aggregate(F.when((n > 0) & (F.size(w) >= n), starts).otherwise(none), none, take)
+
+    # Bound to a variable, or each place would make both arrays anew.
+    return F.flatten(F.transform(F.array(F.struct(phrase.alias("p"), said.alias("w"))), places))
 
 
 def repetition_cuts(findings: DataFrame, words: DataFrame, by: Sequence[str] = BY, lang: str = "lang", most_gap_ms: int = 8000, bucket_ms: int = 60_000) -> DataFrame:
     """Cuts of the earlier of two readings of a phrase with nothing said between: from its first word to the widest gap before the second.
 
-    findings: by, pos, phrase, count, lang, start_ms, end_ms (the window); words: by, pos, text, start_ms, end_ms."""
-    enough = findings.where(tx.content_count(F.split("phrase", " "), F.col(lang)) >= tx.CONTENT_FLOOR)
-    spoken = words.select(*by, F.col("pos").alias("w_pos"), "start_ms", "end_ms", tx.token(F.col("text")).alias("token"))
-    pairs = interval_join(enough, spoken, by, bucket_ms)
-    keys = [*by, "pos", "phrase", "count", "start_ms", "end_ms"]
-    rows = pairs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("r_w_pos", "r_token", "r_start_ms", "r_end_ms"))).alias("_w"))
-    rows = rows.withColumn("_t", F.filter(F.transform(F.split("phrase", " "), tx.token), lambda t: t != ""))
-    own = [*by, "pos", "phrase", "count"]
+    findings: by, pos, phrase, count, lang, start_ms, end_ms (the window); words: by, pos, text, start_ms, end_ms.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for row in batch.to_dict("records"):
-                heard = [(w["r_token"], int(w["r_start_ms"]), int(w["r_end_ms"])) for w in row["_w"]]
-                places = phrase_places(list(row["_t"]), heard)
-                if len(places) < 2:
-                    continue
-                (start, first_end), (second, _) = places[:2]
-                between = [w for w in heard if first_end <= w[1] < second]
-                if 0 <= second - first_end <= most_gap_ms and not between:
-                    out.append((*(row[k] for k in own), start, second, second - first_end))
-            yield pd.DataFrame(out, columns=[*own, "start_ms", "end_ms", "gap_ms"])
-
-    types = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in own)
-    return rows.select(*own, "_w", "_t").mapInPandas(run, f"{types}, start_ms long, end_ms long, gap_ms long")
+    A window is one row with its findings and one with its words, whatever the number of its findings; words are packed by
+    time buckets, so neither is repeated for the other in a shuffle."""
+    window = [*by, "start_ms", "end_ms"]
+    enough = findings.where((tx.content_count(F.split("phrase", " "), F.col(lang)) >= tx.CONTENT_FLOOR) & F.col("start_ms").isNotNull() & F.col("end_ms").isNotNull())
+    told = enough.groupBy(*window).agg(F.collect_set(F.struct("pos", "phrase", "count")).alias("_f"))
+    buckets = lambda start, end: F.sequence(F.floor(start / bucket_ms), F.greatest(F.floor(start / bucket_ms), F.floor((end - 1) / bucket_ms)))
+    spoken = words.select(*by, F.struct(F.col("pos").alias("pos"), tx.token(F.col("text")).alias("token"), "start_ms", "end_ms").alias("_x"), F.explode(buckets(F.col("start_ms"), F.col("end_ms"))).alias("_bucket"))
+    packed = spoken.groupBy(*by, "_bucket").agg(F.collect_list("_x").alias("_x"))
+
+    # A word counts in the bucket where the later of word and window begins.
+    later = lambda x: F.floor(F.greatest(F.col("start_ms"), x["start_ms"]) / bucket_ms)
+    heard = F.filter("_x", lambda x: (x["end_ms"] > F.col("start_ms")) & (x["start_ms"] < F.col("end_ms")) & (F.col("_bucket") == later(x)))
+    met = told.withColumn("_bucket", F.explode(buckets(F.col("start_ms"), F.col("end_ms")))).join(packed, [*by, "_bucket"]).withColumn("_x", heard).where(F.size("_x") > 0)
+    rows = met.groupBy(*window).agg(F.array_sort(F.flatten(F.collect_list("_x"))).alias("_w"), F.first("_f").alias("_f"))
+
+    rows = rows.select(*by, "_w", F.transform("_w", lambda x: x["token"]).alias("_said"), F.inline("_f"))
+    rows = rows.withColumn("_t", F.filter(F.transform(F.split("phrase", " "), tx.token), lambda t: t != ""))
+    rows = rows.withColumn("_at", _first_places(F.col("_t"), F.col("_said"))).where(F.size("_at") == 2)
+    word = lambda i: F.get(F.col("_w"), i)
+    first, second = F.get(F.col("_at"), F.lit(0)), F.get(F.col("_at"), F.lit(1))
+    rows = rows.select(
+        *by, "pos", "phrase", "count", "_w", word(first)["start_ms"].alias("start_ms"), word(first + F.size("_t") - 1)["end_ms"].alias("_ended"), word(second)["start_ms"].alias("end_ms"),
+    ).withColumn("gap_ms", F.col("end_ms") - F.col("_ended"))
+    between = F.exists("_w", lambda x: (x["start_ms"] >= F.col("_ended")) & (x["start_ms"] < F.col("end_ms")))
+    return rows.where(F.col("gap_ms").between(0, most_gap_ms) & ~between).drop("_w", "_ended")
