@@ -45,6 +45,8 @@ from ._store import bound_batches, materialise
 from ._text import U64, as_bytes, chunks, group_index, mix, pair_hash
 
 WINDOW, STRIDE = 32, 16
+#: Entries of the test matrix that are drawn at once.
+DRAWN = 65_536
 RANK = 256
 NEAR = 0.3
 FULL, PART, ANSWER, SPAN = 0.6, 0.45, 0.8, 1.3
@@ -213,9 +215,12 @@ def _rows(column: pa.Array, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def gaussian(terms: int, rank: int) -> np.ndarray:
-    """The seeded test matrix, terms x rank."""
-    x = (mix(np.arange(terms * rank * 2) + 11) >> U64(11)).astype(np.float64) / 2.0**53
-    return (np.sqrt(-2 * np.log(x[::2] + 1e-300)) * np.cos(2 * np.pi * x[1::2])).reshape(terms, rank)
+    """The seeded test matrix, terms x rank. It is filled in blocks: the numbers that it comes from take many times its memory."""
+    out = np.empty(terms * rank)
+    for i in range(0, len(out), DRAWN):
+        x = (mix(np.arange(2 * i, 2 * min(i + DRAWN, len(out))) + 11) >> U64(11)).astype(np.float64) / 2.0**53
+        out[i : i + DRAWN] = np.sqrt(-2 * np.log(x[::2] + 1e-300)) * np.cos(2 * np.pi * x[1::2])
+    return out.reshape(terms, rank)
 
 
 def _products(column: pa.Array, weight: np.ndarray, test: np.ndarray, total: np.ndarray) -> None:
@@ -267,6 +272,7 @@ def singular_space(passages: DataFrame, weight: np.ndarray, rank: int = RANK, mo
     if not good.any():
         return np.zeros((len(weight), 0)), np.zeros(0)
     half = y @ (e[:, good] / np.sqrt(d[good]))
+    del test, y
     u, s, _ = np.linalg.svd(half, full_matrices=False)
     return u, s
 

@@ -155,3 +155,18 @@ def test_lookup_table_is_even_and_stable():
     for bad in ((["a", "a"], 7), (["a"], 8), ([], 7)):
         with pytest.raises(ValueError, match="shards|prime"):
             fill(*bad)
+
+
+def test_the_test_matrix_takes_little_more_than_itself():
+    import tracemalloc
+
+    from cadenza.llm import leaks
+
+    tracemalloc.start()
+    made = leaks.gaussian(4001, 256)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * made.nbytes
+    # Blocks change no number.
+    x = (leaks.mix(np.arange(4001 * 256 * 2) + 11) >> leaks.U64(11)).astype(np.float64) / 2.0**53
+    assert (made == (np.sqrt(-2 * np.log(x[::2] + 1e-300)) * np.cos(2 * np.pi * x[1::2])).reshape(4001, 256)).all()
