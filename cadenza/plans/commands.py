@@ -57,9 +57,8 @@ def semantic_export(lines: DataFrame, segments: DataFrame, silences: DataFrame,
 
 
 def with_nearest_refs(lines: DataFrame, refs: DataFrame) -> DataFrame:
-    """Lines(source_id, idx, start_ms) with `ref`, the block nearest to their start."""
-    near = iv.nearest_block(lines.select("source_id", F.col("idx").alias("pos"), F.col("start_ms").alias("at_ms")), refs)
-    return lines.join(near.select("source_id", F.col("pos").alias("idx"), "ref"), ["source_id", "idx"], "left")
+    """Lines(source_id, idx, start_ms) with `ref`, the block nearest to their start. Every line comes back once."""
+    return iv.nearest_block(lines, refs, "idx", "start_ms")
 
 
 def semantic_check(proposals: DataFrame, lengths: DataFrame, repeated: DataFrame, kept: DataFrame | None = None) -> DataFrame:

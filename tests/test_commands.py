@@ -91,3 +91,9 @@ def test_lines_after_a_silence_without_length_get_the_later_block(spark):
     refs = intervals.speech_refs(spark.createDataFrame([("a", 0, 6000, 6000)], span), spark.createDataFrame([("a", 10000)], "source_id string, duration_ms long"))
     said = spark.createDataFrame([("a", 0, 5000, 5500, "uno"), ("a", 1, 6000, 6500, "dos"), ("a", 2, 7000, 7500, "tres")], "source_id string, idx long, start_ms long, end_ms long, text string")
     assert rows(cmd.with_nearest_refs(said, refs), "idx", "ref") == [(0, "b1"), (1, "b2"), (2, "b2")]
+
+
+def test_lines_come_back_once_with_their_own_block(spark):
+    refs = spark.createDataFrame([("a", "b1", 0, 1000), ("a", "b2", 2000, 3000)], "source_id string, ref string, start_ms long, end_ms long")
+    said = spark.createDataFrame([("a", 4, 500, 600, "uno"), ("a", 4, 2100, 2200, "dos"), ("a", None, 900, 950, "tres"), (None, 5, 900, 950, "cuatro")], "source_id string, idx long, start_ms long, end_ms long, text string")
+    assert rows(cmd.with_nearest_refs(said, refs), "text", "ref") == [("cuatro", None), ("dos", "b2"), ("tres", "b1"), ("uno", "b1")]
